@@ -622,16 +622,19 @@ def topn_scores(spark, sf):
     return fixed_top(spark, sf)
 
 
-@query(f"WITH {TOP_SQL} SELECT user_index, song_index, rank, round(score, 4) AS rating FROM top")
+@query(
+    f"""WITH {TOP_SQL}
+    SELECT user_index, song_index, rank, CAST(CAST(score AS FLOAT) AS DOUBLE) AS rating FROM top"""
+)
 def flatten_recs(spark, sf):
     flat = scoring.flatten_recs(scoring.nest_recs(fixed_top(spark, sf)))
-    return flat.withColumn("rating", F.round(F.col("rating").cast("double"), 4))
+    return flat.withColumn("rating", F.col("rating").cast("double"))
 
 
-@query(f"WITH {TOP_SQL} SELECT song_index, round(score, 4) AS rating FROM top")
+@query(f"WITH {TOP_SQL} SELECT song_index, CAST(CAST(score AS FLOAT) AS DOUBLE) AS rating FROM top")
 def source_inline_rows(spark, sf):
     flat = scoring.flatten_recs(scoring.nest_recs(fixed_top(spark, sf)))
-    return flat.select("song_index", F.round(F.col("rating").cast("double"), 4).alias("rating"))
+    return flat.select("song_index", F.col("rating").cast("double").alias("rating"))
 
 
 TITLED_SQL = f"""WITH {TOP_SQL}, {TRIPLETS_SQL}, {SONGS_SQL}, {INDEX_SQL},
