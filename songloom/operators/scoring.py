@@ -176,7 +176,7 @@ def nest_recs(top: DataFrame) -> DataFrame:
         F.col("score").cast("float").alias("rating"),
     )
     nested = top.groupBy(F.col("user").cast("int").alias("user_index")).agg(
-        F.array_sort(F.collect_list(entry)).alias("_entries")
+        F.sort_array(F.collect_list(entry)).alias("_entries")
     )
     return nested.select(
         "user_index",

@@ -49,6 +49,17 @@ def counted_lookup(
     )
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Mark a stored table for broadcast if it has at most ``max_rows`` rows.
+
+    The check reads no more than one row beyond the bound. A larger table is returned as it
+    is, for Spark to join by shuffling.
+    """
+    if df.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(df)
+    return df
+
+
 def with_position(df: DataFrame, order: list[Column], name: str, first: int = 0) -> DataFrame:
     """Number the rows of ``df`` in a total ``order`` without gathering them in one task.
 

@@ -30,7 +30,7 @@ def _listed(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
     return (
         _first(df, keys, ["apart", "candidate"], rows)
         .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(entry)).alias("listed"))
+        .agg(F.sort_array(F.collect_list(entry)).alias("listed"))
     )
 
 

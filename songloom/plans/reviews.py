@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from songloom.functions.tokens import words
 from songloom.operators.cleaning import dedupe_by_key
-from songloom.operators.skew import counted_lookup
+from songloom.operators.skew import broadcast_if_small, counted_lookup
+from songloom.storage import cut_lineage
+
+SMALL_TABLE = 500_000  # rows of a word table that may be broadcast
 
 # Fixed value: runs of letters and digits, or of anything else; together they cover the text.
 PIECES = r"([\p{L}\p{N}]+|[^\p{L}\p{N}]+)"
@@ -26,10 +29,10 @@ def detect_language(docs: DataFrame, stopwords: DataFrame) -> DataFrame:
     A document's hits are summed where its words are read, so only a few counts per document
     are shuffled.
     """
-    marks = stopwords.select(F.col("word"), F.col("lang").alias("language")).dropDuplicates()
+    marks = stopwords.select("word", F.col("lang").alias("language")).dropDuplicates()
     hits = (
         _word_rows(docs)
-        .join(marks, "word", "left")
+        .join(broadcast_if_small(cut_lineage(marks), SMALL_TABLE), "word", "left")
         .groupBy("doc_id", "language")
         .agg(F.count("language").alias("hits"))
     )
@@ -48,7 +51,7 @@ def normalise_text(docs: DataFrame, dictionary: DataFrame, small: int = 200) ->
     in place, without a shuffle. A larger one is joined to the words, which are then put back
     together per document.
     """
-    entries = dedupe_by_key(dictionary.select("token", "expansion"), ["token"])
+    entries = cut_lineage(dedupe_by_key(dictionary.select("token", "expansion"), ["token"]))
     pieces = F.regexp_extract_all("text", F.lit(PIECES), F.lit(0))
     if entries.limit(small + 1).count() <= small:
         lookup = entries.agg(
@@ -61,11 +64,12 @@ def normalise_text(docs: DataFrame, dictionary: DataFrame, small: int = 200) ->
             "doc_id", F.array_join(replaced, "").alias("text")
         )
     rows = docs.select("doc_id", F.posexplode_outer(pieces).alias("pos", "piece"))
-    swapped = rows.join(entries, F.lower("piece") == F.col("token"), "left").select(
+    known = broadcast_if_small(entries, SMALL_TABLE)
+    swapped = rows.join(known, F.lower("piece") == F.col("token"), "left").select(
         "doc_id", "pos", "piece", F.coalesce("expansion", "piece").alias("word")
     )
     joined = swapped.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("rows"),
+        F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("rows"),
     )
     return joined.select("doc_id", F.array_join("rows.word", "").alias("text"))
 
@@ -75,7 +79,7 @@ def lexicon_sentiment(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     balance = lexicon.select("word", (F.col("pos") - F.col("neg")).alias("balance"))
     sums = (
         _word_rows(docs)
-        .join(balance, "word", "left")
+        .join(broadcast_if_small(cut_lineage(balance), SMALL_TABLE), "word", "left")
         .groupBy("doc_id")
         .agg(
             F.count("balance").alias("hits"),

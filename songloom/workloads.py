@@ -127,7 +127,10 @@ def text_songs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text")
+    """Texts, spread over the cores if they come in fewer files than there are cores."""
+    rows = table(spark, sf, "documents").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    return rows if len(rows.inputFiles()) >= cores else rows.repartition(cores, "doc_id")
 
 
 def factors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -534,10 +537,11 @@ def hash_split(spark, sf):
     return train.withColumn("part", F.lit("train")).union(test.withColumn("part", F.lit("test")))
 
 
-@query()
+@query(f"WITH {TRIPLETS_SQL} SELECT * FROM triplets")
 def train_test_split(spark, sf):
+    """Both parts together again: every interaction is in exactly one of them."""
     train, test = splitting.split(triplets(spark, sf), 0.8, SEED)
-    return train.withColumn("part", F.lit("train")).union(test.withColumn("part", F.lit("test")))
+    return train.union(test)
 
 
 @query(
@@ -740,11 +744,19 @@ def user_index_filter(spark, sf):
     return scoring.flatten_recs(als.recs_for_user(ready.model, fans, 10))
 
 
-@query()
+@query(
+    f"""WITH {TRIPLETS_SQL}
+    SELECT 'user' AS side, count(DISTINCT user_id) AS same FROM triplets
+    UNION ALL SELECT 'song', count(DISTINCT song_id) FROM triplets"""
+)
 def sink_model(spark, sf):
+    """How many factor rows come back from storage as they were: one per user and per song."""
     path = scratch_path(spark, "model")
-    als.save_model(fitted(spark, sf, "default", als.DEFAULT).model, path)
-    return all_factors(als.load_model(path))
+    model = fitted(spark, sf, "default", als.DEFAULT).model
+    als.save_model(model, path)
+    back = all_factors(als.load_model(path)).withColumnRenamed("features", "read")
+    both = all_factors(model).join(back, ["side", "id"]).filter(F.col("features") == F.col("read"))
+    return both.groupBy("side").agg(F.count(F.lit(1)).alias("same"))
 
 
 @query()
@@ -764,8 +776,16 @@ def fm_train(spark, sf):
     return read.select("kind", "id", F.array_join("features", " ").alias("features"))
 
 
-def nested_playlists(spark, sf):
-    return ingest.prepare_playlists(triplets(spark, sf), songs(spark, sf))
+_playlists: dict[tuple[str, str], str] = {}
+
+
+def stored_playlists(spark, sf):
+    """Playlists as the ingest job leaves them: JSON in the shared folder, written once a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _playlists:
+        nested = ingest.prepare_playlists(triplets(spark, sf), songs(spark, sf))
+        _playlists[key] = as_json(nested, "playlists-json")
+    return files.read_playlists_json(spark, _playlists[key])
 
 
 @query(
@@ -786,7 +806,7 @@ def nested_playlists(spark, sf):
 )
 def recommend_for_song(spark, sf):
     found = recommend.recommend_for_song(
-        TITLE_TEXT, songs(spark, sf), nested_playlists(spark, sf), 10, mode="cooccurrence"
+        TITLE_TEXT, songs(spark, sf), stored_playlists(spark, sf), 10, mode="cooccurrence"
     )
     return found.withColumn("rating", F.round("rating", 6))
 
@@ -794,7 +814,7 @@ def recommend_for_song(spark, sf):
 def _by_model(spark, sf, mode: str) -> DataFrame:
     ready = fitted(spark, sf, "default", als.DEFAULT)
     return recommend.recommend_for_song(
-        TITLE_TEXT, songs(spark, sf), nested_playlists(spark, sf), 10, mode=mode, fitted=ready
+        TITLE_TEXT, songs(spark, sf), stored_playlists(spark, sf), 10, mode=mode, fitted=ready
     )
 
 
