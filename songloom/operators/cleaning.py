@@ -45,6 +45,18 @@ def clean(df: DataFrame, order: str = "fill_first") -> DataFrame:
     raise ValueError(f"unknown order {order!r}")
 
 
+def fold_pairs(df: DataFrame, mode: str = "listens") -> DataFrame:
+    """One row per user and song: the sum of their listens, or weight 1.
+
+    Repeated pairs are folded before the shuffle, so that a user who holds many rows still
+    brings no more than one per song into training.
+    """
+    if mode not in ("unit", "listens"):
+        raise ValueError(f"unknown weight mode {mode!r}")
+    weight = F.lit(1) if mode == "unit" else F.sum("listen_count")
+    return df.groupBy("user_id", "song_id").agg(weight.cast("double").alias("listen_count"))
+
+
 def normalise_ids(df: DataFrame, column: str = "song_id") -> DataFrame:
     return df.withColumn(column, F.col(column).cast("string"))
 

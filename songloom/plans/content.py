@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from songloom.operators.cleaning import dedupe_by_key
 from songloom.operators.skew import counted_lookup, with_position
+from songloom.storage import cut_lineage
 
 RELEASE_WEIGHT, YEAR_WEIGHT, YEAR_SPAN = 0.7, 0.3, 50
 
@@ -120,12 +121,12 @@ def content_similarity(catalog: DataFrame, k: int = 10) -> DataFrame:
         "near", lambda c: ~F.coalesce(c["candidate_release"] == F.col("release"), F.lit(False))
     )
     empty = F.array().cast("array<struct<apart:bigint,candidate:string,candidate_release:string>>")
-    lists = lists.select(
-        F.struct(*profile).alias("profile"),
-        "songs",
-        F.concat(
-            F.coalesce("same", empty), F.coalesce(F.slice(others, 1, k + 1), empty)
-        ).alias("candidates"),
+    candidates = F.concat(F.coalesce("same", empty), F.coalesce(F.slice(others, 1, k + 1), empty))
+    # Stored, since the lookup reads its table twice.
+    lists = cut_lineage(
+        lists.select(
+            F.struct(*profile).alias("profile"), "songs", candidates.alias("candidates")
+        )
     )
     found = counted_lookup(
         items.select("song_id", "release", F.struct(*profile).alias("profile")),

@@ -100,8 +100,8 @@ class SpamRules:
 def flag_spam(docs: DataFrame, rules: SpamRules = SpamRules()) -> DataFrame:
     """Rule flags per document, and whether any of them holds.
 
-    Texts are read once and reduced to flags and a digest; only those are shuffled, and a text
-    copied very often is matched without gathering its copies.
+    Texts are read once and reduced to flags and a digest, which are stored; copies are found
+    among the digests, and a text copied very often is matched without gathering its copies.
     """
     lines = F.filter(
         F.transform(F.split("text", "\n"), lambda line: F.trim(line)), lambda line: line != ""
@@ -109,7 +109,8 @@ def flag_spam(docs: DataFrame, rules: SpamRules = SpamRules()) -> DataFrame:
     letters = F.length(F.regexp_replace("text", r"[^\p{L}]", ""))
     repeated = F.col("line_count") - F.col("different_lines")
     judged = (
-        docs.select(
+        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        .select(
             "doc_id",
             F.md5(F.col("text").cast("binary")).alias("digest"),
             F.size(words("text")).alias("words"),
@@ -127,8 +128,9 @@ def flag_spam(docs: DataFrame, rules: SpamRules = SpamRules()) -> DataFrame:
             ),
         )
     )
+    judged = cut_lineage(judged)
     copies = (
-        docs.groupBy(F.md5(F.col("text").cast("binary")).alias("digest"))
+        judged.groupBy("digest")
         .agg(F.count(F.lit(1)).alias("copies"))
         .filter(F.col("copies") > 1)
     )

@@ -698,7 +698,7 @@ def fitted(spark, sf, name: str, params: als.ALSParams) -> recommend.Fitted:
     """One fit per session, table folder and parameter set, shared by the queries below."""
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _fitted:
-        _fitted[key] = recommend.fit(heard(spark, sf), SEED, params)
+        _fitted[key] = recommend.fit(heard(spark, sf), SEED, params, mode="listens")
     return _fitted[key]
 
 

@@ -42,10 +42,11 @@ def test_sentiment(spark):
 def test_spam_flags(spark):
     long = " ".join(["word"] * 30)
     copies = ["copied text " * 20] * 40
-    texts = docs(spark, long, "short one", "1234 !!! " * 30 + long[:20], f"{long}\n{long}", *copies)
+    texts = docs(spark, long, "short one", "1234 !!! " * 30 + long[:20], f"{long}\n{long}", *copies, None)
     got = {r.doc_id: r for r in reviews.flag_spam(texts).collect()}
     assert not got[0].spam
     assert got[1].too_short and got[1].spam
     assert got[2].few_letters
     assert got[3].repeated_lines and not got[3].duplicate
-    assert all(got[i].duplicate for i in range(4, 44)) and len(got) == 44
+    assert all(got[i].duplicate for i in range(4, 44)) and len(got) == 45
+    assert got[44].spam and not got[44].duplicate

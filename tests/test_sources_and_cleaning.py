@@ -49,6 +49,14 @@ def test_weights(interactions):
         cleaning.with_weight(interactions, "other")
 
 
+def test_pairs_are_folded(spark):
+    data = spark.createDataFrame([("u", "a", 2), ("u", "a", 3), ("u", "b", 1)], schemas.INTERACTIONS)
+    assert rows(cleaning.fold_pairs(data)) == [("u", "a", 5.0), ("u", "b", 1.0)]
+    assert rows(cleaning.fold_pairs(data, "unit")) == [("u", "a", 1.0), ("u", "b", 1.0)]
+    with pytest.raises(ValueError):
+        cleaning.fold_pairs(data, "other")
+
+
 def test_swapped_csv_columns_are_refused(spark, interactions):
     path = scratch_path(spark, "swapped")
     interactions.select("song_id", "user_id", "listen_count").write.option("header", True).csv(path)
