@@ -710,22 +710,76 @@ def all_factors(model) -> DataFrame:
     return sides[0].union(sides[1])
 
 
-@query()
+def indexed_heard(spark, sf, ready: recommend.Fitted):
+    return indexing.index_interactions(heard(spark, sf), ready.users, ready.songs)
+
+
+USER_SIZES_SQL = f"""WITH {TRIPLETS_SQL},
+sizes AS (SELECT user_id, count(*) AS n, count(DISTINCT song_id) AS songs
+          FROM (SELECT DISTINCT * FROM triplets) GROUP BY user_id),
+user_sizes AS (SELECT songs, row_number() OVER (ORDER BY n DESC, user_id) - 1 AS user_index
+               FROM sizes)"""
+
+
+@query(f"{USER_SIZES_SQL} SELECT user_index, songs, true AS solved FROM user_sizes")
 def als_default(spark, sf):
-    return all_factors(fitted(spark, sf, "default", als.DEFAULT).model)
+    """Every user of the trained model, and whether their factors solve their least squares."""
+    ready = fitted(spark, sf, "default", als.DEFAULT)
+    pairs = cleaning.fold_pairs(heard(spark, sf))
+    indexed = indexing.index_interactions(pairs, ready.users, ready.songs)
+    found = als.user_residuals(ready.model, indexed, als.DEFAULT.reg)
+    return found.select("user_index", "songs", (F.col("residual") < 1e-5).alias("solved"))
 
 
-@query()
+@query(
+    f"""WITH {TRIPLETS_SQL}
+    SELECT 'user' AS side, count(DISTINCT user_id) AS nonnegative FROM triplets
+    UNION ALL SELECT 'song', count(DISTINCT song_id) FROM triplets"""
+)
 def als_nonneg(spark, sf):
-    return all_factors(fitted(spark, sf, "nonnegative", als.NONNEGATIVE).model)
+    """How many users and songs have no negative factor: all of them."""
+    model = fitted(spark, sf, "nonnegative", als.NONNEGATIVE).model
+    sides = [
+        side.filter(F.array_min("features") >= 0).agg(F.count(F.lit(1)).alias("nonnegative"))
+        for side in (model.userFactors, model.itemFactors)
+    ]
+    return sides[0].select(F.lit("user").alias("side"), "nonnegative").union(
+        sides[1].select(F.lit("song").alias("side"), "nonnegative")
+    )
 
 
-def indexed_heard(spark, sf, ready: recommend.Fitted):
-    return indexing.index_interactions(heard(spark, sf), ready.users, ready.songs)
+@query()
+def als_factors(spark, sf):
+    """The factors themselves."""
+    return all_factors(fitted(spark, sf, "default", als.DEFAULT).model)
 
 
-@query()
+@query(
+    f"""WITH {TRIPLETS_SQL}
+    SELECT t.user_id, t.song_id, t.listen_count,
+           round(list_dot_product(CAST(u.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[])), 6)
+             AS prediction
+    FROM triplets t JOIN embeddings u ON t.user_id = CAST(u.vec_id AS VARCHAR) AND u.label = 0
+                    JOIN embeddings i ON t.song_id = CAST(i.vec_id AS VARCHAR) AND i.label <> 0"""
+)
 def predict_pairs(spark, sf):
+    """Scores of the interactions whose user and song both have factors in the fixed table."""
+    users, items = factors(spark, sf)
+    pairs = triplets(spark, sf).withColumnsRenamed({"user_id": "user", "song_id": "item"})
+    text_id = F.col("id").cast("string")
+    scored = scoring.score_pairs(
+        pairs, users.withColumn("id", text_id), items.withColumn("id", text_id)
+    )
+    return scored.select(
+        F.col("user").alias("user_id"),
+        F.col("item").alias("song_id"),
+        "listen_count",
+        F.round("score", 6).alias("prediction"),
+    )
+
+
+@query()
+def predict_pairs_als(spark, sf):
     ready = fitted(spark, sf, "default", als.DEFAULT)
     return als.predict(ready.model, indexed_heard(spark, sf, ready))
 
@@ -736,8 +790,19 @@ def topn_all_users(spark, sf):
     return scoring.flatten_recs(als.recommend_all(ready.model, 10))
 
 
-@query()
+@query(
+    f"""WITH {TOP_SQL} SELECT user_index AS user, song_index AS item, score, rank FROM top
+    WHERE user_index IN (SELECT vec_id FROM embeddings WHERE embedding[1] > 0)"""
+)
 def user_index_filter(spark, sf):
+    """Recommendations of some users only: those whose first factor is positive."""
+    users, items = factors(spark, sf)
+    wanted = users.filter(F.get("features", F.lit(0)) > 0)
+    return scoring.top_for_users(users, items, wanted.select(F.col("id").alias("user_index")), 5)
+
+
+@query()
+def user_index_filter_als(spark, sf):
     """Recommendations of the users who heard the most popular song."""
     ready = fitted(spark, sf, "default", als.DEFAULT)
     fans = indexed_heard(spark, sf, ready).filter("song_index = 0").select("user_index")
@@ -765,15 +830,71 @@ def training_report(spark, sf):
     return als.report(als.train_and_evaluate(rows, SEED))
 
 
-@query()
+def adam_sql(dim: int, step: float, epochs: int) -> str:
+    """The training of the embeddings, one materialised table per step."""
+
+    def uniform(part: str) -> str:
+        text = f"concat_ws('|', kind, CAST(id AS VARCHAR), '{SEED}/' || CAST(i AS VARCHAR) || '/{part}')"
+        return f"((CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296)"
+
+    parts = [
+        f"""WITH {TRIPLETS_SQL}, {INDEX_SQL},
+        user_index AS (
+          SELECT user_id, row_number() OVER (ORDER BY count(*) DESC, user_id) - 1 AS user_index
+          FROM triplets GROUP BY user_id),
+        data AS MATERIALIZED (
+          SELECT row_number() OVER () AS row, u.user_index, s.song_index
+          FROM triplets t JOIN user_index u ON t.user_id = u.user_id
+                          JOIN song_index s ON t.song_id = s.song_id),
+        ids AS (SELECT 'user' AS kind, user_index AS id FROM user_index
+                UNION ALL SELECT 'song', song_index FROM song_index),
+        w0 AS MATERIALIZED (
+          SELECT kind, id, i, sqrt(-2 * ln({uniform('a')})) * cos({uniform('b')} * 2 * pi()) AS w,
+                 0.0::DOUBLE AS m, 0.0::DOUBLE AS v
+          FROM ids, range({dim}) AS dims(i))"""
+    ]
+    for time in range(1, epochs + 1):
+        old = f"w{time - 1}"
+        parts.append(
+            f"""slopes{time} AS MATERIALIZED (
+              SELECT d.row, any_value(d.user_index) AS user_index,
+                     any_value(d.song_index) AS song_index,
+                     (sum(u.w * s.w) - 1) * 2 / (SELECT count(*) FROM data) AS slope
+              FROM data d JOIN {old} u ON u.kind = 'user' AND u.id = d.user_index
+                          JOIN {old} s ON s.kind = 'song' AND s.id = d.song_index AND s.i = u.i
+              GROUP BY d.row),
+            g{time} AS MATERIALIZED (
+              SELECT 'user' AS kind, user_index AS id, i, sum(slope * w) AS g
+              FROM slopes{time} JOIN {old} ON kind = 'song' AND id = song_index
+              GROUP BY user_index, i
+              UNION ALL
+              SELECT 'song', song_index, i, sum(slope * w)
+              FROM slopes{time} JOIN {old} ON kind = 'user' AND id = user_index
+              GROUP BY song_index, i),
+            moments{time} AS (
+              SELECT kind, id, i, w, m * 0.9::DOUBLE + g * 0.1::DOUBLE AS m,
+                     v * 0.999::DOUBLE + g * g * 0.001::DOUBLE AS v
+              FROM {old} JOIN g{time} USING (kind, id, i)),
+            w{time} AS MATERIALIZED (
+              SELECT kind, id, i, m, v,
+                     w - {step}::DOUBLE * (m / (1 - power(0.9::DOUBLE, {time})))
+                         / (sqrt(v / (1 - power(0.999::DOUBLE, {time}))) + 1e-8::DOUBLE) AS w
+              FROM moments{time})"""
+        )
+    return ", ".join(parts) + f" SELECT kind, id, i, round(w, 6) AS weight FROM w{epochs}"
+
+
+@query(adam_sql(dim=5, step=0.01, epochs=5))
 def fm_train(spark, sf):
     """Embeddings of users and songs, read back from where the training wrote them."""
     rows = cleaning.with_weight(indexed_triplets(spark, sf))
-    model = embedding.fit_embeddings(rows, SEED, dim=5, step=0.1, epochs=10)
+    model = embedding.fit_embeddings(rows, SEED, dim=5, step=0.01, epochs=5)
     path = scratch_path(spark, "embeddings")
     embedding.save_embeddings(model, path)
     read = embedding.load_embeddings(spark, path)
-    return read.select("kind", "id", F.array_join("features", " ").alias("features"))
+    return read.select("kind", "id", F.posexplode("features").alias("i", "w")).select(
+        "kind", "id", "i", F.round("w", 6).alias("weight")
+    )
 
 
 _playlists: dict[tuple[str, str], str] = {}

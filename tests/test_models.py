@@ -92,6 +92,18 @@ def test_error_beats_the_mean_and_seeds_repeat(planted):
     assert rows(first.itemFactors) == rows(second.itemFactors)
 
 
+def test_user_factors_solve_their_least_squares(planted, model):
+    """The last half-step solves (sum of v v' + reg * n) u = sum of r v for every user."""
+    songs = {r.id: np.array(r.features) for r in model.itemFactors.collect()}
+    heard = {}
+    for r in planted.collect():
+        heard.setdefault(r.user_index, []).append((songs[r.song_index], r.listen_count))
+    for row in model.userFactors.collect():
+        vectors, labels = map(np.array, zip(*heard[row.id]))
+        left = vectors.T @ vectors + als.DEFAULT.reg * len(labels) * np.eye(als.DEFAULT.rank)
+        assert np.allclose(np.linalg.solve(left, vectors.T @ labels), row.features, atol=1e-3)
+
+
 def test_nonnegative_factors_and_unknown_ids(spark, planted):
     fitted = als.fit_als(planted, 1, als.NONNEGATIVE)
     lowest = fitted.userFactors.union(fitted.itemFactors).select(F.min(F.array_min("features")))
