@@ -28,6 +28,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Store ``df`` once in the shared folder, so losing an executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Store ``df`` once in the shared folder, so losing an executor costs no recomputation.
+
+    A Parquet table rather than a checkpoint, because readers prune its columns and know its
+    size. The schema is passed along, so reading it back needs no job.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
