@@ -70,13 +70,14 @@ def with_position(df: DataFrame, order: list[Column], name: str, first: int = 0)
         df.orderBy(*order).withColumn("_slot", F.monotonically_increasing_id())
     ).withColumn("_part", F.shiftright("_slot", _ROW_BITS))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
+    # One row per partition of the sort: bounded by the shuffle's partition count, and stored
+    # so that every reader of the numbered table finds the starts ready.
+    starts = cut_lineage(
         placed.groupBy("_part")
         .agg(F.count(F.lit(1)).alias("_rows"))
         .select("_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
     )
     within = F.col("_slot").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    # One row per partition of the sort: bounded by the shuffle's partition count.
     return (
         placed.join(F.broadcast(starts), "_part")
         .withColumn(name, F.col("_start") + within + F.lit(first))

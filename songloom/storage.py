@@ -23,8 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path under the shared folder."""
-    return f"{shared_dir(spark)}/songloom/{name}-{uuid.uuid4().hex}"
+    """A new, unused path under the shared folder, in a subfolder of the running application.
+
+    Whoever owns the shared folder can drop that subfolder once the application has ended.
+    """
+    application = spark.sparkContext.applicationId
+    return f"{shared_dir(spark)}/songloom/{application}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -45,10 +45,9 @@ def test_text_is_not_shuffled_by_spam_rules(spark, sf_dir):
     from songloom.plans import reviews
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    # texts were reduced and stored beforehand; what is joined and shuffled holds none of them
     text = plan(reviews.flag_spam(docs))
-    shuffled = [line for line in text.splitlines() if line.startswith("Input") and "text#" in line]
-    after_exchange = text.split("Exchange\n")[1:]
-    assert shuffled and all("text#" not in part.split("\n\n")[0] for part in after_exchange)
+    assert "digest" in text and "text#" not in text and "documents.parquet" not in text
 
 
 def test_interactions_keep_only_needed_columns(spark, sf_dir):

@@ -53,6 +53,21 @@ def test_cooccurrence_equals_brute_force(spark, wide, wide_users, k):
     assert got == brute_cooccurrence(pairs, k)
 
 
+def test_a_user_with_most_songs_does_not_spell_out_pairs(spark):
+    """30,000 songs of one user would be 450 million pairs; the lists come from their sizes."""
+    songs = 30_000
+    wide = spark.range(songs).selectExpr("'wide' AS user_id", "format_string('s%05d', id) AS song_id")
+    # songs from s20000 on are known to one more user each, so they are weaker candidates
+    extra = wide.filter("song_id >= 's20000'").selectExpr("song_id AS user_id", "song_id")
+    best = cooccurrence.item_cooccurrence(wide.union(extra), k=3)
+    assert best.count() == songs * 3
+    lists = best.groupBy("rank", "candidate").count().collect()
+    assert {r.candidate for r in lists} == {"s00000", "s00001", "s00002", "s00003"}
+    first = [r for r in best.filter("song_id = 's25000'").orderBy("rank").collect()]
+    assert [r.candidate for r in first] == ["s00000", "s00001", "s00002"]
+    assert first[0].score == pytest.approx(1 / math.sqrt(2))
+
+
 def test_cooccurrence_for_one_song_is_its_list(spark):
     pairs = hot_interactions(3)
     data = spark.createDataFrame(pairs, "user_id string, song_id string")

@@ -5,7 +5,8 @@ from pyspark.ml.feature import StringIndexer
 from pyspark.sql import functions as F
 
 from songloom.operators import indexing
-from songloom.operators.skew import counted_lookup, with_position
+from songloom.operators.skew import broadcast_if_small, counted_lookup, with_position
+from songloom.storage import cut_lineage, scratch_path, shared_dir
 from tests.conftest import rows
 
 
@@ -48,6 +49,23 @@ def test_index_equals_string_indexer(spark):
     assert mine == {label: place for place, label in enumerate(model.labels)}
 
 
+@pytest.mark.parametrize("bound,marked", [(9, False), (10, True)])
+def test_broadcast_only_within_the_bound(spark, bound, marked):
+    table = cut_lineage(spark.range(10))
+    joined = spark.range(100).join(broadcast_if_small(table, bound), "id")
+    hints = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert ("strategy=broadcast" in hints) == marked
+    assert joined.count() == 10
+
+
+def test_stored_tables_stay_in_the_shared_folder(spark):
+    stored = cut_lineage(spark.range(5).withColumn("pair", F.struct("id")).filter("id < 0"))
+    assert stored.isEmpty() and stored.columns == ["id", "pair"]
+    path = scratch_path(spark, "x")
+    assert path.startswith(f"{shared_dir(spark)}/songloom/{spark.sparkContext.applicationId}/x-")
+    assert path != scratch_path(spark, "x")
+
+
 def test_unseen_labels(spark):
     index = indexing.build_index(skewed(spark).filter("key < 'k'"), "key")
     data = spark.createDataFrame([("hot",), ("never",), (None,)], "key string")
