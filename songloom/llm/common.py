@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,3 +39,37 @@ def words_column(text: Column) -> Column:
 def id_remainder(key: Column, modulus: int) -> Column:
     """crc32 of an id written as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
+
+
+def map_texts(
+    docs: DataFrame,
+    text_col: str,
+    keep: list[str],
+    make: Callable[[], Callable[[list[str | None]], list]],
+    fields: dict[str, tuple[str, pa.DataType]],
+    rows: int = 500,
+) -> DataFrame:
+    """The columns ``keep`` of ``docs`` as they are, and columns computed from each text.
+
+    ``make`` runs once in a task and gives a function from some texts to one list per field.
+    ``fields`` has the Spark and the Arrow type of each. Kept columns stay Arrow data, so ids keep
+    their nulls and types; positional names let them be called anything. No shuffle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = make()
+        kinds = [kind for _, kind in fields.values()]
+        for batch in batches:
+            for first in range(0, batch.num_rows, rows):
+                part = batch.slice(first, rows)
+                made = function(part.column(len(keep)).to_pylist())
+                arrays = [pa.array(x, kind) for x, kind in zip(made, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *arrays], names)
+
+    names = [*[f"_k{n}" for n in range(len(keep))], *fields]
+    kept = [docs[name].alias(f"_k{n}") for n, name in enumerate(keep)]
+    read = docs.select(*kept, docs[text_col].cast("string").alias("_body"))
+    types = [docs.schema[name].dataType.simpleString() for name in keep]
+    types += [kind for kind, _ in fields.values()]
+    made = read.mapInArrow(run, ", ".join(f"`{name}` {kind}" for name, kind in zip(names, types)))
+    return made.select(*[F.col(f"_k{n}").alias(name) for n, name in enumerate(keep)], *fields)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from songloom.llm.decontaminate import OP10_SQL, op10_benchmark_decontamination
+from songloom.llm.toxicity import op6_toxicity
 
 QUERIES = {
+    "op6_toxicity": op6_toxicity,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 SQL = {
