@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from songloom.llm.decontaminate import OP10_SQL, op10_benchmark_decontamination
+from songloom.llm.near_join import op4_ngram_jaccard_join
 from songloom.llm.token_files import op8_token_files
 from songloom.llm.toxicity import op6_toxicity
 
 QUERIES = {
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_toxicity": op6_toxicity,
     "op8_token_files": op8_token_files,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
