@@ -41,6 +41,12 @@ def id_remainder(key: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
+def plain_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under positional column names, which clash with no operator's, and where each is."""
+    names = [f"_column{n}" for n in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names))
+
+
 def map_texts(
     docs: DataFrame,
     text_col: str,

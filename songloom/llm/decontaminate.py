@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from songloom.llm.common import lower_ascii, table
+from songloom.llm.common import lower_ascii, map_texts, plain_names, table
 
 WINDOW = 10
 #: Words of benchmark text searched for in one pass; a larger benchmark takes several passes.
@@ -18,6 +17,16 @@ BLOCK_WORDS = 2_000_000
 _WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
+_FOUND = {
+    "n_words": ("long", pa.int64()),
+    "spans": (
+        "array<struct<first:int,last:int>>",
+        pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])),
+    ),
+    "items": ("array<string>", pa.list_(pa.string())),
+}
+
+
 def words_of(text: str | None) -> list[str]:
     """Runs of letters and digits, and of all non-ASCII characters, after lower-casing A-Z."""
     return [] if text is None else _WORDS.findall(lower_ascii(text))
@@ -118,9 +127,10 @@ def find_benchmark(
 
     A null or empty text has no words and no hits. Repeated documents give one row each, repeated
     items count once, items with a null id or no words match nothing, an empty benchmark gives
-    documents without hits. Columns of ``docs`` not in ``keep`` are not read.
+    documents without hits. Columns of ``docs`` not in ``keep`` are not read, and kept columns with
+    the name of a result give way to it.
     """
-    keep = keep or [id_col]
+    keep = [name for name in keep or [id_col] if name not in _FOUND]
     spark = docs.sparkSession
     blocks = _item_blocks(benchmark, item_col, item_text_col, block_words)
     result = None
@@ -132,30 +142,26 @@ def find_benchmark(
 
 
 def _scan(docs: DataFrame, text_col: str, keep: list[str], sent, window: int) -> DataFrame:
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         search = searchers(sent.value, window)
-        for batch in batches:
-            out: dict[str, list] = {"n_words": [], "spans": [], "items": []}
-            for text in batch.pop("_body"):
+
+        def run(texts: list[str | None]) -> list:
+            out: tuple[list, list, list] = ([], [], [])
+            for text in texts:
                 words = words_of(text)
                 spans, items = [], set()
                 for one in search:
                     for first, found in one.search(words):
                         spans.append((first, first + one.length))
                         items |= found
-                out["n_words"].append(len(words))
-                out["spans"].append([{"first": a, "last": b} for a, b in _merge(spans)])
-                out["items"].append(sorted(items))
-            yield batch.assign(**out)
-
-    kept = [docs[name].alias(f"_k{n}") for n, name in enumerate(keep)]
-    read = docs.select(*kept, F.col(text_col).cast("string").alias("_body"))
-    fields = ", ".join(f"_k{n} {docs.schema[name].dataType.simpleString()}" for n, name in enumerate(keep))
-    schema = f"{fields}, n_words long, spans array<struct<first:int,last:int>>, items array<string>"
-    found = read.mapInPandas(scan, schema)
-    return found.select(
-        *[F.col(f"_k{n}").alias(name) for n, name in enumerate(keep)], "n_words", "spans", "items"
-    )
+                out[0].append(len(words))
+                out[1].append([{"first": a, "last": b} for a, b in _merge(spans)])
+                out[2].append(sorted(items))
+            return list(out)
+
+        return run
+
+    return map_texts(docs, text_col, keep, make, _FOUND)
 
 
 def _both(one: DataFrame, two: DataFrame, keep: list[str], docs: DataFrame) -> DataFrame:
@@ -182,7 +188,6 @@ def _both(one: DataFrame, two: DataFrame, keep: list[str], docs: DataFrame) -> D
 
 def _merged_column(spans):
     """The runs of ``spans`` with overlapping and touching ones joined."""
-    last = lambda acc: F.element_at(acc, -1)
     return F.aggregate(
         F.array_sort(spans),
         F.array().cast("array<struct<first:int,last:int>>"),
@@ -201,6 +206,14 @@ def _merged_column(spans):
     )
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that contain no ``WINDOW`` words of an item, with all their columns."""
+    plain, place = plain_names(docs)
+    key = place[text_col]
+    found = find_benchmark(plain, benchmark, key, key, keep=plain.columns)
+    return found.filter("size(spans) = 0").select(*plain.columns).toDF(*docs.columns)
+
+
 def op10_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     """Hit words and items of every document, over the whole benchmark."""
     found = find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

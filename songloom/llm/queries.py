@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from songloom.llm.decontaminate import OP10_SQL, op10_benchmark_decontamination
+from songloom.llm.mixing import OP7_SQL, op7_mixing
 from songloom.llm.near_join import op4_ngram_jaccard_join
 from songloom.llm.token_files import op8_token_files
 from songloom.llm.toxicity import op6_toxicity
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_toxicity": op6_toxicity,
+    "op7_mixing": op7_mixing,
     "op8_token_files": op8_token_files,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 SQL = {
+    "op7_mixing": OP7_SQL,
     "op10_benchmark_decontamination": OP10_SQL,
 }

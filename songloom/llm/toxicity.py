@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from songloom.llm.common import id_remainder, map_texts, table
+from songloom.llm.common import id_remainder, map_texts, plain_names, table
 from songloom.storage import cut_lineage
 
 #: Most labelled documents the lexicon is learned from, the same at every size of the input.
@@ -307,10 +307,12 @@ def score_toxicity(
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that aren't predicted toxic, with their columns."""
-    lexicon = learn_lexicon(docs, _training(labels))
-    return score_toxicity(docs, lexicon).filter("predicted = 0").select(*docs.columns)
+def reject_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that aren't predicted toxic, with all their columns."""
+    lexicon = learn_lexicon(docs, _training(labels), text_col=text_col)
+    plain, place = plain_names(docs)
+    scored = score_toxicity(plain, lexicon, place[text_col])
+    return scored.filter("predicted = 0").select(*plain.columns).toDF(*docs.columns)
 
 
 def _training(labels: DataFrame) -> DataFrame:
