@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from songloom.llm.decontaminate import OP10_SQL, op10_benchmark_decontamination
+from songloom.llm.host_rules import OP2_SQL, op2_host_rules
 from songloom.llm.mixing import OP7_SQL, op7_mixing
 from songloom.llm.near_join import op4_ngram_jaccard_join
 from songloom.llm.token_files import op8_token_files
@@ -11,6 +12,7 @@ from songloom.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
+    "op2_host_rules": op2_host_rules,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
@@ -18,6 +20,7 @@ QUERIES = {
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 SQL = {
+    "op2_host_rules": OP2_SQL,
     "op7_mixing": OP7_SQL,
     "op10_benchmark_decontamination": OP10_SQL,
 }
