@@ -172,7 +172,7 @@ OP2_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS k, doc_id, source, coalesce(text, '') AS body,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM documents),
 windows AS (
   SELECT k, i, w[i:i + 2] AS gram FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
