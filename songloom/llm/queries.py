@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from songloom.llm.bloom_lm import op5_lm_scoring
 from songloom.llm.decontaminate import OP10_SQL, op10_benchmark_decontamination
 from songloom.llm.host_rules import OP2_SQL, op2_host_rules
 from songloom.llm.mixing import OP7_SQL, op7_mixing
@@ -14,6 +15,7 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op2_host_rules": op2_host_rules,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
     "op8_token_files": op8_token_files,
