@@ -299,7 +299,8 @@ def _read(files: TokenFiles, wanted: list[int | None] | None, digest: bool) -> D
             [pa.array(list(x), kind) for x, kind in zip(columns, kinds)], names
         )
 
-    tasks = placed.repartition(F.col("file"))
+    # a number of its own, or the few rows would be merged into one task
+    tasks = placed.repartition(max(1, files.manifest.count()), "file")
     schema = f"doc_id long, start long, n_tokens long, {names[3]} {'long' if digest else 'array<long>'}"
     return tasks.mapInArrow(read, schema)
 
