@@ -6,6 +6,7 @@ import corpus_pipeline
 from songloom.llm.bloom_lm import op5_lm_scoring
 from songloom.llm.decontaminate import OP10_SQL, op10_benchmark_decontamination
 from songloom.llm.host_rules import OP2_SQL, op2_host_rules
+from songloom.llm.line_dedup import op9_line_dedup
 from songloom.llm.mixing import OP7_SQL, op7_mixing
 from songloom.llm.near_join import op4_ngram_jaccard_join
 from songloom.llm.token_files import op8_token_files
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
     "op8_token_files": op8_token_files,
+    "op9_line_dedup": op9_line_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 SQL = {
