@@ -11,10 +11,12 @@ from songloom.llm.mixing import OP7_SQL, op7_mixing
 from songloom.llm.near_join import op4_ngram_jaccard_join
 from songloom.llm.token_files import op8_token_files
 from songloom.llm.toxicity import op6_toxicity
+from songloom.llm.url_templates import OP3_SQL, op3_url_filters
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op2_host_rules": op2_host_rules,
+    "op3_url_filters": op3_url_filters,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_toxicity": op6_toxicity,
@@ -25,6 +27,7 @@ QUERIES = {
 }
 SQL = {
     "op2_host_rules": OP2_SQL,
+    "op3_url_filters": OP3_SQL,
     "op7_mixing": OP7_SQL,
     "op10_benchmark_decontamination": OP10_SQL,
 }
