@@ -12,9 +12,11 @@ from songloom.llm.near_join import op4_ngram_jaccard_join
 from songloom.llm.token_files import op8_token_files
 from songloom.llm.toxicity import op6_toxicity
 from songloom.llm.url_templates import OP3_SQL, op3_url_filters
+from songloom.llm.weak_labels import op1_quality_classifier
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_host_rules": op2_host_rules,
     "op3_url_filters": op3_url_filters,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
