@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from songloom.llm.common import WORD, table
-from songloom.operators.skew import counted_lookup, with_position
+from songloom.operators.skew import counted_lookup
 from songloom.storage import cut_lineage
 
 WEIGHTS = (3, 1, 2)
@@ -31,8 +31,8 @@ class Mix:
     segments: DataFrame
 
 
-def _running_total(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
-    """``df`` with ``row`` (its place in ``order``) and ``name``: the sum of ``value`` before it.
+def _running_totals(df: DataFrame, order: list[Column], values: dict[str, Column]) -> DataFrame:
+    """``df`` with ``row`` (its place in ``order``) and for each name the sum of its value before it.
 
     Rows are range-sorted and stored; each partition sums its own, and one number per partition
     gives where it starts. No task sees more than one partition.
@@ -41,17 +41,19 @@ def _running_total(df: DataFrame, order: list[Column], value: str, name: str) ->
     placed = cut_lineage(sorted_rows).withColumn("_part", F.shiftright("row", _ROW_BITS))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
+    sums = placed.groupBy("_part").agg(*[F.sum(x).alias(name) for name, x in values.items()])
     starts = cut_lineage(  # as many rows as the sort had partitions
-        placed.groupBy("_part")
-        .agg(F.sum(value).alias("_sum"))
-        .select("_part", F.coalesce(F.sum("_sum").over(earlier), zero).alias("_start"))
+        sums.select(
+            "_part", *[F.coalesce(F.sum(x).over(earlier), zero).alias(f"_{x}") for x in values]
+        )
     )
     within = Window.partitionBy("_part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    own = {name: F.coalesce(F.sum(x).over(within), zero) for name, x in values.items()}
     return (
-        placed.withColumn("_within", F.coalesce(F.sum(value).over(within), zero))
+        placed.withColumns(own)
         .join(F.broadcast(starts), "_part")
-        .withColumn(name, F.col("_start") + F.col("_within"))
-        .drop("_part", "_start", "_within")
+        .withColumns({name: F.col(name) + F.col(f"_{name}") for name in values})
+        .drop("_part", *[f"_{name}" for name in values])
     )
 
 
@@ -69,13 +71,13 @@ def source_targets(
     """
     summed = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = [F.col("source").asc_nulls_last()]
-    numbered = with_position(summed, order, "index")
+    totals = {"index": F.lit(1).cast("long"), "source_start": F.col("source_size")}
+    numbered = _running_totals(summed, order, totals)
     turns = F.array(*[F.lit(float(w)) for w in weights])
     weight = F.element_at(turns, (F.col("index") % len(weights) + 1).cast("int"))
-    sources = _running_total(numbered.withColumn("weight", weight), order, "source_size", "source_start")
-    sources = cut_lineage(sources.drop("row"))
+    sources = cut_lineage(numbered.withColumn("weight", weight).drop("row"))
     most_of = F.col("source_size") * F.lit(float(most))
-    level, budget = 0.0, None
+    level = 0.0
     while True:
         full = most_of <= F.col("weight") * F.lit(level)
         total, taken, open_weight = sources.agg(
@@ -88,54 +90,44 @@ def source_targets(
         level = following
     full = most_of <= F.col("weight") * F.lit(level)
     target = F.when(full, most_of).otherwise(F.col("weight") * F.lit(level))
-    return sources.select("source", "source_size", "source_start", "index", target.alias("target"))
-
-
-def _log_factorial(x: Column) -> Column:
-    """Stirling's series eight steps up, and back by division."""
-    y = x + 9.0
-    steps = x + 1.0
-    for k in range(2, 9):
-        steps = steps * (x + float(k))
-    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
-    return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + series - F.log(steps)
-
-
-def _log_choose(n: Column, k: Column) -> Column:
-    return _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k)
+    chosen = sources.select("source", "source_size", "source_start", "index", target.alias("target"))
+    return cut_lineage(chosen)
 
 
 def hypergeometric(marked: Column, all_: Column, drawn: Column, u: Column) -> Column:
     """Marked ones among ``drawn`` of ``all_`` without replacement, where ``u`` in [0, 1) falls in
-    the distribution. Values over twelve deviations from the mean, with chances below 1e-30, are
-    not walked through."""
+    the distribution. Chances follow from one another, so they are summed up from the lowest count
+    with a weight of one, and then walked through to ``u`` of the sum. Counts over twelve deviations
+    from the mean, with chances below 1e-30, are left out."""
+    real = lambda x: x.cast("double")
     n = F.greatest(all_, F.lit(1)).cast("double")
     mean = drawn * marked / n
-    deviation = F.sqrt(
-        F.greatest(mean * (n - marked) / n * (n - drawn) / F.greatest(n - 1, F.lit(1.0)), F.lit(0.0))
-    )
-    low = F.greatest(F.lit(0), drawn + marked - all_, F.floor(mean - 12 * deviation - 12)).cast("long")
-    high = F.least(marked, drawn, F.ceil(mean + 12 * deviation + 12)).cast("long")
-    real = lambda x: x.cast("double")
-    first = F.exp(
-        _log_choose(real(marked), real(low))
-        + _log_choose(real(all_ - marked), real(drawn - low))
-        - _log_choose(real(all_), real(drawn))
-    )
+    spread = mean * (n - marked) / n * (n - drawn) / F.greatest(n - 1, F.lit(1.0))
+    wide = 12 * F.sqrt(F.greatest(spread, F.lit(0.0))) + 12
+    low = F.greatest(F.lit(0), drawn + marked - all_, F.floor(mean - wide)).cast("long")
+    high = F.least(marked, drawn, F.ceil(mean + wide)).cast("long")
+    counts = F.sequence(low, high)
 
-    def step(state: Column, x: Column) -> Column:
-        total = state["total"] + state["p"]
-        up = real(marked - x) * real(drawn - x)
+    def following(weight: Column, x: Column) -> Column:
         down = real(x + 1) * real(all_ - marked - drawn + x + 1)
+        return weight * real(marked - x) * real(drawn - x) / F.greatest(down, F.lit(1.0))
+
+    def add(state: Column, x: Column) -> Column:
         return F.struct(
-            total.alias("total"),
-            (state["p"] * up / F.greatest(down, F.lit(1.0))).alias("p"),
-            F.when(total <= u, x + 1).otherwise(state["x"]).alias("x"),
+            (state["sum"] + state["w"]).alias("sum"), following(state["w"], x).alias("w")
         )
 
-    start = F.struct(F.lit(0.0).alias("total"), first.alias("p"), low.alias("x"))
-    walked = F.aggregate(F.sequence(low, high), start, step, lambda state: state["x"])
-    return F.least(walked, high)
+    def walk(state: Column, x: Column) -> Column:
+        return F.struct(
+            (state["left"] - state["w"]).alias("left"),
+            following(state["w"], x).alias("w"),
+            F.when(state["left"] >= state["w"], x + 1).otherwise(state["x"]).alias("x"),
+        )
+
+    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(1.0).alias("w"))
+    total = F.aggregate(counts, zero, add, lambda state: state["sum"])
+    start = F.struct((u * total).alias("left"), F.lit(1.0).alias("w"), low.alias("x"))
+    return F.least(F.aggregate(counts, start, walk, lambda state: state["x"]), high)
 
 
 def _uniform(*parts: Column) -> Column:
@@ -252,10 +244,9 @@ def mix_sources(
     )
     name = F.coalesce(F.col("id").cast("string"), F.lit(""))
     order = F.md5(F.concat(F.lit(f"{seed}:"), name))
-    stream = _running_total(
-        measured, [F.col("source").asc_nulls_last(), order, F.col("id"), F.col("text_key")], "size", "at"
-    )
-    sources = cut_lineage(source_targets(measured, weights, share, most))
+    places = [F.col("source").asc_nulls_last(), order, F.col("id"), F.col("text_key")]
+    stream = _running_totals(measured, places, {"at": F.col("size")})
+    sources = source_targets(measured, weights, share, most)
     rows = cut_lineage(
         _lookup_source(stream, sources).select(
             "row",
