@@ -123,7 +123,7 @@ def find_benchmark(
     One row per row of ``docs``: the columns in ``keep`` (default: the id), then ``n_words``,
     ``spans`` (merged runs of hit words, first and end) and ``items`` (ids as text, sorted).
     Benchmark items are read in blocks of at most ``block_words`` words; each block is one pass
-    over the documents with a broadcast of that bounded size. One block needs no shuffle.
+    over the documents with a broadcast of that bounded size. There is no shuffle.
 
     A null or empty text has no words and no hits. Repeated documents give one row each, repeated
     items count once, items with a null id or no words match nothing, an empty benchmark gives
@@ -131,17 +131,25 @@ def find_benchmark(
     the name of a result give way to it.
     """
     keep = [name for name in keep or [id_col] if name not in _FOUND]
-    spark = docs.sparkSession
+    send = docs.sparkSession.sparkContext.broadcast
     blocks = _item_blocks(benchmark, item_col, item_text_col, block_words)
-    result = None
-    for items in blocks:
-        sent = spark.sparkContext.broadcast(items)
-        scanned = _scan(docs, text_col, keep, sent, window)
-        result = scanned if result is None else _both(result, scanned, keep, docs)
-    return result
-
-
-def _scan(docs: DataFrame, text_col: str, keep: list[str], sent, window: int) -> DataFrame:
+    block, after = next(blocks), next(blocks, None)
+    # with more passes to come the text and what has been found are carried along
+    body = docs[text_col].cast("string").alias("_text")
+    found = docs.select(*[docs[name] for name in keep], body)
+    found = _scan(found, keep if after is None else [*keep, "_text"], send(block), window)
+    while after is not None:
+        block, after = after, next(blocks, None)
+        held = found.withColumnsRenamed({"spans": "_spans", "items": "_items"}).drop("n_words")
+        carried = [*keep, "_spans", "_items", *(["_text"] if after is not None else [])]
+        found = _scan(held, carried, send(block), window)
+        found = found.withColumn("spans", _merged_column(F.concat("_spans", "spans"))).withColumn(
+            "items", F.array_sort(F.array_union("_items", "items"))
+        ).drop("_spans", "_items")
+    return found.select(*keep, *_FOUND)
+
+
+def _scan(docs: DataFrame, keep: list[str], sent, window: int) -> DataFrame:
     def make():
         search = searchers(sent.value, window)
 
@@ -161,29 +169,7 @@ def _scan(docs: DataFrame, text_col: str, keep: list[str], sent, window: int) ->
 
         return run
 
-    return map_texts(docs, text_col, keep, make, _FOUND)
-
-
-def _both(one: DataFrame, two: DataFrame, keep: list[str], docs: DataFrame) -> DataFrame:
-    """Findings of two passes over the same documents, matched by ``keep``.
-
-    Equal rows have equal findings, so each pass is cut to distinct rows on one side only.
-    """
-    right = two.dropDuplicates(keep).select(
-        *[F.col(name).alias(f"_r_{name}") for name in keep],
-        F.col("spans").alias("_spans"),
-        F.col("items").alias("_items"),
-    )
-    match = None
-    for name in keep:
-        same = F.col(name).eqNullSafe(F.col(f"_r_{name}"))
-        match = same if match is None else match & same
-    return one.join(right, match, "left").select(
-        *keep,
-        "n_words",
-        _merged_column(F.concat("spans", "_spans")).alias("spans"),
-        F.array_sort(F.array_union("items", "_items")).alias("items"),
-    )
+    return map_texts(docs, "_text", keep, make, _FOUND)
 
 
 def _merged_column(spans):
