@@ -48,14 +48,18 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(words: np.ndarray) -> np.ndarray:
-    return pd.util.hash_array(words) if len(words) else np.zeros(0, np.uint64)
+    # hashing each word is cheaper than finding the distinct ones first
+    return pd.util.hash_array(words, categorize=False) if len(words) else np.zeros(0, np.uint64)
 
 
-def _with_previous(w: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The hash before each token; a text begins after an end."""
-    before = np.empty_like(w)
-    before[1:] = w[:-1]
-    before[np.concatenate([[0], np.cumsum(counts)[:-1]])] = word_hashes(np.array([_END], object))[0]
+_END_HASH = word_hashes(np.array([_END], object))[0]
+
+
+def _previous(values: np.ndarray, counts: np.ndarray, end) -> np.ndarray:
+    """The value of the token before each; a text begins after an end."""
+    before = np.empty_like(values)
+    before[1:] = values[:-1]
+    before[np.concatenate([[0], np.cumsum(counts)[:-1]])] = end
     return before
 
 
@@ -84,14 +88,18 @@ def _stored_levels() -> np.ndarray:
 
 
 STORED = _stored_levels()
+_TWICE = int(level_of(np.array([MIN_BIGRAM]))[0])
+
 
+def _hashes(key: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of keys that reach a level; the filter's positions follow from them."""
+    one = _mixed(key + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15))
+    return one, _mixed(one ^ np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
 
-def _bits(key: np.ndarray, level: np.ndarray, n_bits: int) -> np.ndarray:
-    """Positions, one column for each hash, of a key that reaches a level."""
-    one = _mixed(key + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    two = _mixed(one ^ np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
-    steps = np.arange(HASHES, dtype=np.uint64)
-    return (one[:, None] + steps * two[:, None]) % np.uint64(n_bits)
+
+def _place(one: np.ndarray, two: np.ndarray, number: int, n_bits: int) -> np.ndarray:
+    """The position that one of ``HASHES`` hashes gives; ``n_bits`` is below 2 ** 32."""
+    return (((one + np.uint64(number) * two) >> np.uint64(32)) * np.uint64(n_bits)) >> np.uint64(32)
 
 
 @dataclass
@@ -107,17 +115,21 @@ class Filter:
         found = np.zeros(len(distinct), np.int64)
         alive = np.arange(len(distinct))
         for level in STORED:
+            one, two = _hashes(distinct[alive], level)
+            for number in range(HASHES):
+                place = _place(one, two, number, self.n_bits)
+                hit = (self.bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                alive, one, two = alive[hit], one[hit], two[hit]
             if not len(alive):
                 break
-            at = _bits(distinct[alive], np.full(len(alive), level), self.n_bits)
-            hit = np.ones(len(alive), bool)
-            for column in range(HASHES):
-                place = at[:, column]
-                hit &= (self.bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            alive = alive[hit]
             found[alive] = level
         return found[inverse]
 
+    def word_levels(self, w: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Levels of words, and of the words before them."""
+        both = self.levels(np.append(w, _END_HASH))
+        return both[:-1], _previous(both[:-1], counts, both[-1])
+
 
 @dataclass
 class Model:
@@ -133,10 +145,13 @@ class Model:
         P(w | v) = x * c(vw) / c(v) + (1 - x) * P(w), with P(w) = (c(w) + 1) / (N + V + 1) and x
         by the level of c(v). Rare bigrams are left out, so the sum over w is at most 1.
         """
-        v = _with_previous(w, counts)
-        level = self.unigrams.levels(v)
-        single = (count_of(self.unigrams.levels(w)) + 1) / (self.total + self.vocabulary + 1)
-        pair = count_of(self.bigrams.levels(bigram_key(v, w, level)))
+        own, level = self.unigrams.word_levels(w, counts)
+        single = (count_of(own) + 1) / (self.total + self.vocabulary + 1)
+        stored = np.zeros(len(w), np.int64)
+        often = (own >= _TWICE) & (level >= _TWICE)  # else the pair can't have been seen twice
+        v = _previous(w, counts, _END_HASH)
+        stored[often] = self.bigrams.levels(bigram_key(v[often], w[often], level[often]))
+        pair = count_of(stored)
         share = np.minimum(pair / np.maximum(count_of(level), 1.0), 1.0)
         x = self.weights[level]
         starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
@@ -192,7 +207,9 @@ def build_filter(counts: DataFrame, max_bits: int = MAX_BITS) -> Filter:
                 on = reached >= level
                 if not on.any():
                     break
-                at = np.unique(_bits(key[on], np.full(int(on.sum()), level), n_bits).ravel())
+                one, two = _hashes(key[on], level)
+                places = [_place(one, two, number, n_bits) for number in range(HASHES)]
+                at = np.unique(np.concatenate(places))
                 chunk = at // np.uint64(_CHUNK_BITS)
                 first = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))
                 places = (at % np.uint64(_CHUNK_BITS)).astype("<u4")
@@ -234,7 +251,7 @@ def learn(training: DataFrame, text_col: str = "text", max_bits: int = MAX_BITS)
     """A model of the texts, and the stored counts (key, c) of its words.
 
     Bigrams are counted after the words, so that each carries the level of its first word's count;
-    those below ``MIN_BIGRAM`` are left out. The weight of bigrams after words of one level is the
+    those below ``MIN_BIGRAM`` are left out, and so are pairs with a word below it. The weight of bigrams after words of one level is the
     part of these words' occurrences that kept bigrams, less a discount, go on from.
     """
     spark = training.sparkSession
@@ -248,8 +265,11 @@ def learn(training: DataFrame, text_col: str = "text", max_bits: int = MAX_BITS)
 
         def run(texts: list[str | None]) -> np.ndarray:
             w, counts = _hashed(texts)
-            v = _with_previous(w, counts)
-            return bigram_key(v, w, known.levels(v))
+            own, level = known.word_levels(w, counts)
+            # a pair with a word seen once isn't seen twice
+            often = (own >= _TWICE) & (level >= _TWICE)
+            v = _previous(w, counts, _END_HASH)
+            return bigram_key(v[often], w[often], level[often])
 
         return run
 
