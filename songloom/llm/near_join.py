@@ -57,7 +57,7 @@ def shingles(texts: list[str | None], size: int = SHINGLE_WORDS) -> tuple[np.nda
     words = [(text or "").encode("utf-8", "replace").lower().split() for text in texts]
     counts = np.array([len(x) for x in words], np.int64)
     flat = np.array([w for x in words for w in x], dtype=object)
-    hashed = pd.util.hash_array(flat) if len(flat) else np.zeros(0, np.uint64)
+    hashed = pd.util.hash_array(flat, categorize=False) if len(flat) else np.zeros(0, np.uint64)
     padded = np.concatenate([hashed, np.zeros(size, np.uint64)])
     n = len(hashed)
     starts = np.concatenate([[0], np.cumsum(counts)])
