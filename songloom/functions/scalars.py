@@ -25,21 +25,51 @@ def to_number(text: Column | str) -> Column:
         trimmed.try_cast("double"),
     )
     for radix, pattern in RADIX_LITERALS.items():
-        digits = F.conv(F.substring(trimmed, 3, 64), radix, 10)
-        number = number.when(trimmed.rlike(pattern), digits.try_cast("double"))
+        number = number.when(trimmed.rlike(pattern), _folded(F.substring(trimmed, 3, F.length(trimmed)), radix))
     return number
 
 
+def _folded(digits: Column, radix: int) -> Column:
+    """The value of digits of any number, as a double."""
+    values = F.transform(
+        F.split(F.lower(digits), ""), lambda d: F.instr(F.lit("0123456789abcdef"), d) - 1
+    )
+    return F.aggregate(
+        F.filter(values, lambda v: v >= 0), F.lit(0.0), lambda total, v: total * radix + v
+    )
+
+
 def short_label(text: Column | str, length: int = 5) -> Column:
     """First characters of a label followed by three dots, whatever its length."""
     return F.concat(F.substring(text, 1, length), F.lit("..."))
 
 
 def format_rating(rating: Column | str, digits: int = 2) -> Column:
-    """Rating as text; exact halves go to the even digit, and a minus sign survives rounding."""
+    """Rating as text, rounded by the value of the double and not by its decimal text.
+
+    Only where the product with the power of ten seems to be a half does its rounding error,
+    computed without error in two parts, decide; an exact half goes to the even digit. A minus
+    sign survives rounding. Null stays null; values too large for a fraction are printed as they are.
+    """
     value = (F.col(rating) if isinstance(rating, str) else rating).cast("double")
+    unit, scale = 10**digits, float(10**digits)
+    size = F.abs(value)
+    before = F.floor(size)
+    fraction = size - before
+    product = fraction * scale
+    spread = fraction * 134217729.0  # 2 ** 27 + 1 cuts a double into two halves
+    high = spread - (spread - fraction)
+    error = (high * scale - product) + (fraction - high) * scale
+    whole = F.floor(product)
+    part = product - whole
+    odd = (before % 2 * unit + whole) % 2 == 1
+    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & odd)))
+    cents = whole + F.when(up, 1).otherwise(0)
+    carried = before + F.floor(cents / unit)
+    text = F.format_string(f"%d.%0{digits}d", carried, cents % unit) if digits else carried.cast("string")
+    plain = F.format_string(f"%.{digits}f", size)
     sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
-    return F.concat(sign, F.format_string(f"%.{digits}f", F.bround(F.abs(value), digits)))
+    return F.when(value.isNotNull(), F.concat(sign, F.when(size < 2.0**62, text).otherwise(plain)))
 
 
 def cover_url(body: Column | str) -> Column:

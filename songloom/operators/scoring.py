@@ -101,20 +101,21 @@ def top_scores(
     users: DataFrame,
     items: DataFrame,
     n: int,
-    digits: int = 6,
+    digits: int | None = None,
     user_block: int = USER_BLOCK,
     item_block: int = ITEM_BLOCK,
 ) -> DataFrame:
     """The ``n`` best items of every user as ``(user, item, score, rank)``.
 
-    Scores are rounded to ``digits`` before ranking, so that equal scores tie; ties go to the
-    smaller item id.
+    With ``digits`` scores are rounded before ranking, so that nearly equal ones tie. Ties go to
+    the smaller item id.
     """
 
     def best(user_ids: np.ndarray, item_ids: np.ndarray, scores: np.ndarray) -> pd.DataFrame:
         if scores.size == 0:
             return pd.DataFrame({"user": user_ids, "item": item_ids, "score": scores.ravel()})
-        scores = np.round(scores, digits) + 0.0
+        if digits is not None:
+            scores = np.round(scores, digits) + 0.0
         keep = min(n, len(item_ids))
         floor = np.partition(scores, len(item_ids) - keep, axis=1)[:, len(item_ids) - keep]
         rows, columns = np.nonzero(scores >= floor[:, None])

@@ -86,21 +86,38 @@ def _other_releases(heads: DataFrame, k: int) -> DataFrame:
         F.col("song_id").alias("candidate"),
         F.col("release").alias("candidate_release"),
     )
-    # Years further apart score nothing, so 99 years are all there is to look at.
-    reach = F.explode(F.sequence(F.lit(1 - YEAR_SPAN), F.lit(YEAR_SPAN - 1)))
-    seekers = (
-        heads.select(*spot)
-        .dropDuplicates()
-        .select(*spot, reach.alias("step"))
-        .select(*spot, (F.col("year").cast("long") + F.col("step")).alias("_year"))
-    )
-    met = seekers.join(offered, ["artist_name", "_year"]).withColumn(
-        "apart", _years_apart("year", "_year")
+    # Years further apart score nothing, so a year's own span and those beside it hold all.
+    span = lambda year: F.floor(F.col(year).cast("long") / YEAR_SPAN)
+    reach = F.explode(F.sequence(span("year") - 1, span("year") + 1))
+    seekers = heads.select(*spot).dropDuplicates().select(*spot, reach.alias("_span"))
+    met = (
+        seekers.join(offered.withColumn("_span", span("_year")), ["artist_name", "_span"])
+        .withColumn("apart", _years_apart("year", "_year"))
+        .filter(F.col("apart") < YEAR_SPAN)
     )
     capped = _first(met, [*spot, "candidate_release"], ["apart", "candidate"], k + 1)
     return _listed(capped, spot, 2 * (k + 1))
 
 
+def _score(same_release: Column, apart: Column) -> Column:
+    closeness = F.greatest(F.lit(0.0), 1 - apart / F.lit(float(YEAR_SPAN)))
+    release = F.when(F.coalesce(same_release, F.lit(False)), RELEASE_WEIGHT).otherwise(0.0)
+    return release + closeness * YEAR_WEIGHT
+
+
+def score_content(catalog: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs(song_id, candidate)`` with their ``content`` score, 0 for different artists."""
+    rows = catalog.filter(F.col("song_id").isNotNull() & F.col("artist_name").isNotNull())
+    details = ["release", "artist_name", F.coalesce("year", F.lit(0)).alias("year")]
+    items = dedupe_by_key(rows.select("song_id", *details), ["song_id"])
+    x = items.select("song_id", F.struct("release", "artist_name", "year").alias("x"))
+    y = items.select(F.col("song_id").alias("candidate"), F.struct("release", "artist_name", "year").alias("y"))
+    both = pairs.join(x, "song_id", "left").join(y, "candidate", "left")
+    score = _score(F.col("x.release") == F.col("y.release"), _years_apart("x.year", "y.year"))
+    same_artist = F.col("x.artist_name") == F.col("y.artist_name")
+    return both.select("song_id", "candidate", F.when(same_artist, score).otherwise(0.0).alias("content"))
+
+
 def content_similarity(catalog: DataFrame, k: int = 10) -> DataFrame:
     """The k most similar songs of every song as ``(song_id, candidate, score, rank)``."""
     rows = catalog.filter(F.col("song_id").isNotNull() & F.col("artist_name").isNotNull())
@@ -138,9 +155,7 @@ def content_similarity(catalog: DataFrame, k: int = 10) -> DataFrame:
     usable = F.slice(
         F.filter("candidates", lambda c: c["candidate"] != F.col("song_id")), 1, k
     )
-    same_release = F.coalesce(F.col("c.candidate_release") == F.col("release"), F.lit(False))
-    closeness = F.greatest(F.lit(0.0), 1 - F.col("c.apart") / F.lit(float(YEAR_SPAN)))
-    score = F.when(same_release, RELEASE_WEIGHT).otherwise(0.0) + closeness * YEAR_WEIGHT
+    score = _score(F.col("release") == F.col("c.candidate_release"), F.col("c.apart"))
     return found.select("song_id", "release", F.posexplode(usable).alias("pos", "c")).select(
         "song_id",
         F.col("c.candidate").alias("candidate"),

@@ -5,6 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from songloom.plans.content import content_similarity, score_content
+from songloom.plans.cooccurrence import item_cooccurrence, score_cooccurrence
+from songloom.storage import cut_lineage
+
+
+def hybrid_similarity(
+    interactions: DataFrame,
+    catalog: DataFrame,
+    alpha: float,
+    k: int,
+    heard: DataFrame | None = None,
+) -> DataFrame:
+    """The k best blends among the candidates of either side, with both scores in full.
+
+    Candidates are the k best of co-occurrence and the k best of content. A score that a side's own
+    list cut off is computed for the pair, so no candidate counts as unknown to the other side.
+    """
+    pair = ["song_id", "candidate"]
+    near = cut_lineage(item_cooccurrence(interactions, k).select(*pair, F.col("score").alias("collaborative")))
+    like = cut_lineage(content_similarity(catalog, k).select(*pair))
+    rest = score_cooccurrence(interactions, cut_lineage(like.join(near, pair, "left_anti")))
+    collaborative = cut_lineage(near.unionByName(rest.select(*pair, "collaborative")))
+    content = score_content(catalog, collaborative.select(*pair))
+    named = lambda df, side: df.select(*pair, F.col(side).alias("score"))
+    return hybrid(named(collaborative, "collaborative"), named(content, "content"), alpha, k, heard)
+
 
 def hybrid(
     collaborative: DataFrame,
@@ -15,7 +41,7 @@ def hybrid(
 ) -> DataFrame:
     """The k best ``(song_id, candidate)`` by alpha * collaborative + (1 - alpha) * content.
 
-    A pair that only one side knows scores 0 on the other. Songs in ``heard(song_id)`` are
+    A pair that only one table has scores 0 on the other; :func:`hybrid_similarity` gives both. Songs in ``heard(song_id)`` are
     left out of the candidates.
     """
     pair = ["song_id", "candidate"]

@@ -44,39 +44,35 @@ def detect_language(docs: DataFrame, stopwords: DataFrame) -> DataFrame:
     )
 
 
-def normalise_text(docs: DataFrame, dictionary: DataFrame, small: int = 200) -> DataFrame:
+def normalise_text(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Replace words found in ``dictionary(token, expansion)``, leaving all else as it is.
 
-    A dictionary of at most ``small`` entries travels inside the plan and texts are rewritten
-    in place, without a shuffle. A larger one is joined to the words, which are then put back
-    together per document.
+    Every row is taken apart, its pieces meet the dictionary, and the row is put together again
+    under a number of its own, so repeated ids stay apart. A null text stays null; entries without
+    a token are ignored.
     """
-    entries = cut_lineage(dedupe_by_key(dictionary.select("token", "expansion"), ["token"]))
+    named = dictionary.select("token", "expansion").filter(F.col("token").isNotNull())
+    known = broadcast_if_small(cut_lineage(dedupe_by_key(named, ["token"])), SMALL_TABLE)
     pieces = F.regexp_extract_all("text", F.lit(PIECES), F.lit(0))
-    if entries.limit(small + 1).count() <= small:
-        lookup = entries.agg(
-            F.map_from_entries(F.collect_list(F.struct("token", "expansion")))
-        ).scalar()
-        replaced = F.transform(
-            pieces, lambda p: F.coalesce(F.try_element_at("_map", F.lower(p)), p)
-        )
-        return docs.withColumn("_map", lookup).select(
-            "doc_id", F.array_join(replaced, "").alias("text")
-        )
-    rows = docs.select("doc_id", F.posexplode_outer(pieces).alias("pos", "piece"))
-    known = broadcast_if_small(entries, SMALL_TABLE)
+    rows = docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()).select(
+        "_row", "doc_id", F.isnull("text").alias("_no_text"), F.posexplode_outer(pieces).alias("pos", "piece")
+    )
     swapped = rows.join(known, F.lower("piece") == F.col("token"), "left").select(
-        "doc_id", "pos", "piece", F.coalesce("expansion", "piece").alias("word")
+        "_row", "doc_id", "_no_text", "pos", F.coalesce("expansion", "piece").alias("word")
     )
-    joined = swapped.groupBy("doc_id").agg(
+    joined = swapped.groupBy("_row", "doc_id", "_no_text").agg(
         F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("rows"),
     )
-    return joined.select("doc_id", F.array_join("rows.word", "").alias("text"))
+    text = F.when(~F.col("_no_text"), F.array_join("rows.word", ""))
+    return joined.select("doc_id", text.alias("text"))
 
 
 def lexicon_sentiment(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Sum of (pos - neg) over the words found in ``lexicon(word, pos, neg)``, and its sign."""
-    balance = lexicon.select("word", (F.col("pos") - F.col("neg")).alias("balance"))
+    """Sum of (pos - neg) over the words found in ``lexicon(word, pos, neg)``, and its sign.
+
+    A word with several rows, one for each sense, counts with their mean.
+    """
+    balance = lexicon.groupBy("word").agg(F.avg(F.col("pos") - F.col("neg")).alias("balance"))
     sums = (
         _word_rows(docs)
         .join(broadcast_if_small(cut_lineage(balance), SMALL_TABLE), "word", "left")

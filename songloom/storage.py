@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,12 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a session that names none (a unit test) gets a folder of its own.
+    A local session that names none (a unit test) gets a folder of its own; on a cluster each
+    executor would write to its own disk, so there the setting is required.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
-        named = context.getCheckpointDir() or tempfile.mkdtemp(prefix="songloom-")
+        named = context.getCheckpointDir()
+    if named is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="songloom-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named

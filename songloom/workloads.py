@@ -127,10 +127,7 @@ def text_songs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts, spread over the cores if they come in fewer files than there are cores."""
-    rows = table(spark, sf, "documents").select("doc_id", "text")
-    cores = spark.sparkContext.defaultParallelism
-    return rows if len(rows.inputFiles()) >= cores else rows.repartition(cores, "doc_id")
+    return table(spark, sf, "documents").select("doc_id", "text")
 
 
 def factors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -141,7 +138,7 @@ def factors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def fixed_top(spark: SparkSession, sf: str) -> DataFrame:
     users, items = factors(spark, sf)
-    return scoring.top_scores(users, items, 5)
+    return scoring.top_scores(users, items, 5, digits=6)
 
 
 def as_csv(df: DataFrame, name: str) -> str:
@@ -287,7 +284,7 @@ def title_contains(spark, sf):
     f"""WITH {SONGS_SQL}
     SELECT 'ring' AS text, count(*) > 0 AS found FROM songs WHERE contains(title, 'ring')
     UNION ALL
-    SELECT 'Despacito', count(*) > 0 FROM songs WHERE contains(title, 'Despacito')"""
+    SELECT 'zzz', count(*) > 0 FROM songs WHERE contains(title, 'zzz')"""
 )
 def exists_check(spark, sf):
     catalog = songs(spark, sf)
@@ -296,7 +293,7 @@ def exists_check(spark, sf):
         found = search.exists(search.find_songs(catalog, text))
         return found.select(F.lit(text).alias("text"), "found")
 
-    return answer("ring").union(answer("Despacito"))
+    return answer("ring").union(answer("zzz"))
 
 
 @query(
@@ -329,12 +326,21 @@ def short_label(spark, sf):
     return songs(spark, sf).select("song_id", scalars.short_label("artist_name").alias("label"))
 
 
-@query("SELECT vec_id, printf('%.2f', CAST(embedding[1] AS DOUBLE)) AS text FROM embeddings")
+@query(
+    """SELECT vec_id, printf('%.2f', CAST(embedding[1] AS DOUBLE)) AS text,
+              printf('%.2f', CAST(vec_id * 10 + 5 AS DOUBLE) / 1000) AS half,
+              CASE WHEN vec_id % 2 = 0 THEN printf('%.2f', CAST(vec_id AS DOUBLE) / 8) END AS eighth
+    FROM embeddings"""
+)
 def format_rating(spark, sf):
-    rating = F.get("embedding", F.lit(0))
-    return table(spark, sf, "embeddings").select(
-        "vec_id", scalars.format_rating(rating).alias("text")
-    )
+    """Factors as ratings, and doubles whose decimal text ends in a half, as some of them do."""
+    values = {
+        "text": F.get("embedding", F.lit(0)),
+        "half": (F.col("vec_id") * 10 + 5).cast("double") / 1000,
+        "eighth": F.when(F.col("vec_id") % 2 == 0, F.col("vec_id").cast("double") / 8),
+    }
+    rated = [scalars.format_rating(value).alias(name) for name, value in values.items()]
+    return table(spark, sf, "embeddings").select("vec_id", *rated)
 
 
 @query(
@@ -523,7 +529,7 @@ def count_rows(spark, sf):
     return triplets(spark, sf).agg(F.count(F.lit(1)).alias("n"))
 
 
-HASH_SQL = "CAST('0x' || substr(md5(concat_ws('|', user_id, song_id, '{}')), 1, 8) AS BIGINT)"
+HASH_SQL = "CAST('0x' || substr(md5(concat_ws('|', user_id, song_id, '{}')), 1, 15) AS BIGINT)"
 
 
 @query(
@@ -676,12 +682,12 @@ def collect_result(spark, sf):
 @query(
     f"""{TITLED_SQL}, bodies AS (
       SELECT title, body, row_number() OVER (PARTITION BY title ORDER BY body) AS place
-      FROM (SELECT title, release, {COVER_SQL} AS body FROM songs WHERE year > 1))
+      FROM (SELECT title, {COVER_SQL} AS body FROM songs) WHERE body IS NOT NULL)
     SELECT t.song_id, t.title, t.artist_name, t.rating, b.body AS cover_url
     FROM titled t LEFT JOIN bodies b ON t.title = b.title AND b.place = 1"""
 )
 def attach_covers(spark, sf):
-    found = responses(songs(spark, sf).filter("year > 1"))
+    found = responses(songs(spark, sf))
     return results.attach_covers(titled(spark, sf), found)
 
 
@@ -759,20 +765,24 @@ def als_factors(spark, sf):
     SELECT t.user_id, t.song_id, t.listen_count,
            round(list_dot_product(CAST(u.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[])), 6)
              AS prediction
-    FROM triplets t JOIN embeddings u ON t.user_id = CAST(u.vec_id AS VARCHAR) AND u.label = 0
-                    JOIN embeddings i ON t.song_id = CAST(i.vec_id AS VARCHAR) AND i.label <> 0"""
+    FROM (SELECT *, CAST(user_id AS BIGINT) % ((SELECT count(*) FROM embeddings) + 7) AS u,
+                 CAST(song_id AS BIGINT) % (SELECT count(*) FROM embeddings) AS i FROM triplets) t
+    JOIN embeddings u ON t.u = u.vec_id JOIN embeddings i ON t.i = i.vec_id"""
 )
 def predict_pairs(spark, sf):
-    """Scores of the interactions whose user and song both have factors in the fixed table."""
-    users, items = factors(spark, sf)
-    pairs = triplets(spark, sf).withColumnsRenamed({"user_id": "user", "song_id": "item"})
-    text_id = F.col("id").cast("string")
-    scored = scoring.score_pairs(
-        pairs, users.withColumn("id", text_id), items.withColumn("id", text_id)
+    """Scores of all interactions under the fixed factors, which ids share by remainder; seven
+    remainders of users have none."""
+    known = table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("embedding").alias("features")
+    )
+    n = known.count()
+    pairs = triplets(spark, sf).withColumns(
+        {"user": F.col("user_id").cast("long") % (n + 7), "item": F.col("song_id").cast("long") % n}
     )
+    scored = scoring.score_pairs(pairs, known, known)
     return scored.select(
-        F.col("user").alias("user_id"),
-        F.col("item").alias("song_id"),
+        "user_id",
+        "song_id",
         "listen_count",
         F.round("score", 6).alias("prediction"),
     )
@@ -835,7 +845,7 @@ def adam_sql(dim: int, step: float, epochs: int) -> str:
 
     def uniform(part: str) -> str:
         text = f"concat_ws('|', kind, CAST(id AS VARCHAR), '{SEED}/' || CAST(i AS VARCHAR) || '/{part}')"
-        return f"((CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296)"
+        return f"((CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT) + 0.5::DOUBLE) / 1152921504606846976)"
 
     parts = [
         f"""WITH {TRIPLETS_SQL}, {INDEX_SQL},
@@ -998,13 +1008,14 @@ def content_similarity(spark, sf):
 
 @query(
     f"""{COOCCURRENCE_SQL}, {CONTENT_SQL},
+    wanted AS (
+      SELECT song_id, candidate FROM collaborative WHERE rank <= 10
+      UNION SELECT song_id, candidate FROM content WHERE rank <= 10),
     blended AS (
-      SELECT coalesce(l.song_id, r.song_id) AS song_id,
-             coalesce(l.candidate, r.candidate) AS candidate,
-             coalesce(l.score, 0) AS collaborative, coalesce(r.score, 0) AS content
-      FROM (SELECT * FROM collaborative WHERE rank <= 10) l
-      FULL JOIN (SELECT * FROM content WHERE rank <= 10) r
-        ON l.song_id = r.song_id AND l.candidate = r.candidate),
+      SELECT w.song_id, w.candidate, coalesce(l.score, 0) AS collaborative, coalesce(r.score, 0) AS content
+      FROM wanted w
+      LEFT JOIN collaborative l ON w.song_id = l.song_id AND w.candidate = l.candidate
+      LEFT JOIN scored r ON w.song_id = r.song_id AND w.candidate = r.candidate),
     ranked AS (
       SELECT *, collaborative * 0.5::DOUBLE + content * 0.5::DOUBLE AS score FROM blended),
     placed AS (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY score DESC, candidate)
@@ -1012,9 +1023,7 @@ def content_similarity(spark, sf):
     SELECT song_id, candidate, round(score, 6) AS score, rank FROM placed WHERE rank <= 10"""
 )
 def hybrid_recs(spark, sf):
-    left = cooccurrence.item_cooccurrence(triplets(spark, sf), 10)
-    right = content.content_similarity(songs(spark, sf), 10)
-    best = hybrid.hybrid(left, right, alpha=0.5, k=10)
+    best = hybrid.hybrid_similarity(triplets(spark, sf), songs(spark, sf), alpha=0.5, k=10)
     return best.select("song_id", "candidate", F.round("score", 6).alias("score"), "rank")
 
 

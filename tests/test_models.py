@@ -155,3 +155,18 @@ def test_embedding_error_falls_with_mini_batches(spark, planted):
     path = scratch_path(spark, "embeddings")
     embedding.save_embeddings(model, path)
     assert rows(embedding.load_embeddings(spark, path)) == rows(model)
+
+
+def test_small_scores_keep_their_order(spark):
+    users = spark.createDataFrame([(1, [1e-4])], "id int, features array<float>")
+    items = spark.createDataFrame([(i, [i * 1e-4]) for i in range(1, 20)], "id int, features array<float>")
+    assert [row.item for row in scoring.top_scores(users, items, 3).orderBy("rank").collect()] == [19, 18, 17]
+
+
+def test_similar_items_with_ties(spark):
+    from songloom.plans.recommend import similar_items
+
+    same = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(6)], "id int, features array<float>")
+    seeds = spark.createDataFrame([(5,)], "id int")
+    found = similar_items(same, seeds, 3).orderBy("rank").collect()
+    assert [(row.item, row.rank) for row in found] == [(0, 1), (1, 2), (2, 3)]

@@ -17,19 +17,21 @@ def test_language_ties_and_empty_texts(spark):
     assert got == [(0, "en", 2), (1, "es", 1), (2, None, 0), (3, None, 0), (4, "es", 2), (5, None, 0)]
 
 
-@pytest.mark.parametrize("small", [0, 200])
-def test_normalised_text_keeps_everything_else(spark, small):
+def test_normalised_text_keeps_everything_else(spark):
     dictionary = spark.createDataFrame(
-        [("u", "you"), ("b4", "before"), ("gr8", "great")], "token string, expansion string"
+        [("u", "you"), ("b4", "before"), ("gr8", "great"), (None, "no")], "token string, expansion string"
     )
-    texts = docs(spark, "C U  b4\nnoon, gr8!", "nothing; here", "", "u")
-    got = rows(reviews.normalise_text(texts, dictionary, small))
-    assert got == [(0, "C you  before\nnoon, great!"), (1, "nothing; here"), (2, ""), (3, "you")]
+    texts = docs(spark, "C U  b4\nnoon, gr8!", "nothing; here", "", "u", None)
+    again = spark.createDataFrame([(3, "ab  u")], texts.schema)
+    got = rows(reviews.normalise_text(texts.union(again), dictionary))
+    assert got == [
+        (0, "C you  before\nnoon, great!"), (1, "nothing; here"), (2, ""), (3, "ab  you"), (3, "you"), (4, None),
+    ]
 
 
 def test_sentiment(spark):
     lexicon = spark.createDataFrame(
-        [("good", 0.75, 0.0), ("bad", 0.0, 0.625), ("fine", 0.5, 0.5)], "word string, pos double, neg double"
+        [("good", 0.75, 0.0), ("bad", 0.0, 0.625), ("fine", 0.5, 0.5), ("good", 0.25, 0.0), ("good", 1.25, 0.0)], "word string, pos double, neg double"
     )
     texts = docs(spark, "Good, good!", "bad good bad", "fine", "unknown", "")
     got = rows(reviews.lexicon_sentiment(texts, lexicon))
