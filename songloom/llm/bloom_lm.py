@@ -93,7 +93,8 @@ _TWICE = int(level_of(np.array([MIN_BIGRAM]))[0])
 
 def _hashes(key: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of keys that reach a level; the filter's positions follow from them."""
-    one = _mixed(key + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15))
+    salt = np.uint64(int(level) * 0x9E3779B97F4A7C15 % (1 << 64))
+    one = _mixed(key + salt)
     return one, _mixed(one ^ np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
 
 
