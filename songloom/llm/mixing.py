@@ -284,7 +284,8 @@ def mix_sources(
         .withColumn("block", touched)
         .select("index", "block", "row", "round", (low - F.col("start")).alias("first_word"), (high - low).alias("n_words"))
     )
-    segments = pieces.join(blocks, ["index", "block"]).drop("index")
+    # sizes of exploded tables are underestimated, so neither side may be taken for a small one
+    segments = pieces.hint("merge").join(blocks.hint("merge"), ["index", "block"]).drop("index")
     return Mix(rows, segments)
 
 
