@@ -1,5 +1,3 @@
-import pytest
-
 from songloom.plans import reviews
 from tests.conftest import rows
 
