@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from songloom.llm.common import table, words_column
+from songloom.llm.common import WORD, table, words_column
 from songloom.storage import cut_lineage
 
 #: Most documents the scorer is trained on, the same at every size; the labellers see all.
@@ -51,19 +51,17 @@ def measure(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataF
     )
     lines = F.filter(F.split("body", "\n"), lambda line: F.trim(line) != "")
     cut = read.withColumn("words", words_column(F.col("body"))).withColumn("lines", lines)
-    repeated = F.filter("words", lambda w, i: F.coalesce(w == F.get("words", i - 1), F.lit(False)))
-    marked = F.filter("words", lambda w: w.rlike(r"[!?#$%&*]{2,}$"))
-    lone = F.filter("words", lambda w: ~w.rlike(r"[\p{L}\p{N}]"))
+    # one pass of an expression over the text is cheaper than a function of each word
+    count = lambda pattern: F.regexp_count("body", F.lit(pattern)).cast("long")
     capitals = _removed("body", CAPITALS)
-    long_ = lambda x: F.size(x).cast("long")
     measured = cut.select(
         *[name for name in read.columns if name != "body"],
-        long_("words").alias("n_words"),
-        long_(F.array_distinct("words")).alias("n_distinct"),
-        long_(repeated).alias("n_stutter"),
-        long_(marked).alias("n_marks"),
-        long_(lone).alias("n_lone"),
-        long_("lines").alias("n_lines"),
+        count(WORD).alias("n_words"),
+        F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
+        count(r"(?<!\S)(\S+)\s+(?=\1(?!\S))").alias("n_stutter"),
+        count(r"[!?#$%&*]{2,}(?!\S)").alias("n_marks"),
+        count(r"(?<!\S)[^\s\p{L}\p{N}]+(?!\S)").alias("n_lone"),
+        F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_repeated_lines"),
         _removed("body", SYMBOLS).alias("n_symbols"),
         capitals.alias("n_capitals"),
@@ -120,23 +118,22 @@ def posterior(votes: str, share: float, chances: list[tuple[float, float]]) -> f
 
 
 def token_shapes(text: Column) -> Column:
-    """What the scorer sees of each word: runs of small letters, capitals and digits as one letter
-    each, marks as they are, and whether the word is the one before it again."""
-    words = words_column(text)
-    shape = lambda w: F.regexp_replace(
-        F.regexp_replace(F.regexp_replace(w, r"\p{Ll}+", "x"), r"\p{Lu}+", "X"), r"[0-9]+", "0"
-    )
-    return F.concat(
-        F.transform(words, shape),
-        F.transform(words, lambda w: F.concat(F.lit("length "), F.least(F.length(w), F.lit(20)).cast("string"))),
-    )
+    """What the scorer sees of each word: long and short runs of small letters, capitals and
+    digits as one letter each, and marks as they are."""
+    shaped = F.coalesce(text, F.lit(""))
+    for pattern, letter in ((r"\p{Ll}{10,}", "y"), (r"\p{Ll}+", "x"), (r"\p{Lu}+", "X"), (r"[0-9]+", "0")):
+        shaped = F.regexp_replace(shaped, pattern, letter)
+    return words_column(shaped)
 
 
 def _features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
     read = measure(docs, id_col, text_col, token_shapes(text).alias("tokens"))
-    # without words: one token of its own, so that the vector isn't empty
-    filled = read.withColumn("tokens", F.when(F.size("tokens") == 0, F.array(F.lit("none"))).otherwise(F.col("tokens")))
+    # a token for each word that is the one before it again, and for words of repeated lines; and
+    # one for the text itself, so that the vector isn't empty
+    repeats = F.array_repeat(F.lit("again"), F.col("n_stutter").cast("int"))
+    lines = F.array_repeat(F.lit("line again"), (10 * F.col("n_repeated_lines")).cast("int"))
+    filled = read.withColumn("tokens", F.concat("tokens", repeats, lines, F.array(F.lit("text"))))
     hashed = HashingTF(inputCol="tokens", outputCol="counts", numFeatures=HASHED_FEATURES).transform(filled)
     return Normalizer(inputCol="counts", outputCol="features", p=2.0).transform(hashed).select("id", "text_key", "votes", "features")
 
