@@ -1,8 +1,8 @@
-"""Line dedup: winnowed fingerprints of line runs, matched to their first place and extended."""
+"""Line dedup: winnowed fingerprints and guarantee windows of lines, matched to their first place."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from songloom.llm.common import WORD, table
@@ -40,6 +40,9 @@ def fingerprints(
     The window of a line goes on until it has ``guarantee`` words. Of the runs that fill ``gram``
     words inside it, that with the least hash is selected, which depends on nothing outside: equal
     runs of lines with a whole window select the same.
+
+    The windows themselves are fingerprints too, with nothing before and after: from every line on,
+    and back from every line. Those inside a run of ``guarantee`` words cover all its lines.
     """
     text = F.col(text_col).cast("string")
     read = docs.select(
@@ -58,23 +61,28 @@ def fingerprints(
     units = read.select(
         "id", "text_key", F.filter(described, lambda unit: unit["n"] > 0).alias("units")
     )
-    reach = lambda words: F.transform(
-        "units", lambda unit, i: _lines_needed(F.col("units"), i + 1, words)
+    units = units.withColumn("backward", F.reverse("units"))
+    reach = lambda words, name="units": F.transform(
+        name, lambda unit, i: _lines_needed(F.col(name), i + 1, words)
     )
-    reached = units.select("*", reach(guarantee).alias("windows"), reach(gram).alias("grams"))
-    key = lambda i: F.md5(
-        F.array_join(
-            F.transform(
-                F.slice("units", i + 1, F.get("grams", i)), lambda unit: unit["h"].cast("string")
-            ),
-            ",",
-        )
+    reached = units.select(
+        "id",
+        "text_key",
+        "units",
+        reach(guarantee).alias("windows"),
+        F.reverse(reach(guarantee, "backward")).alias("windows_back"),
+        reach(gram).alias("grams"),
+    )
+    hashes = lambda i, n: F.array_join(
+        F.transform(F.slice("units", i + 1, n), lambda unit: unit["h"].cast("string")), ","
     )
+    key = lambda i: F.md5(hashes(i, F.get("grams", i)))
     keyed = reached.select(
         "id",
         "text_key",
         "units",
         "windows",
+        "windows_back",
         "grams",
         F.transform("grams", lambda n, i: F.when(n.isNotNull(), key(i))).alias("keys"),
     )
@@ -91,13 +99,35 @@ def fingerprints(
             lambda x: x.isNotNull(),
         )
     )
-    exploded = keyed.select("id", "text_key", "units", "windows", "grams", F.explode(selected).alias("x"))
+    spans = F.concat(
+        F.transform("windows", lambda n, i: F.when(n.isNotNull(), F.struct(i.alias("s"), n.alias("n")))),
+        F.transform(
+            "windows_back", lambda n, i: F.when(n.isNotNull(), F.struct((i - n + 1).alias("s"), n.alias("n")))
+        ),
+    )
+    whole = F.transform(
+        F.filter(F.array_distinct(spans), lambda x: x.isNotNull()),
+        lambda x: F.struct(
+            F.md5(F.concat(F.lit("window "), hashes(x["s"], x["n"]))).alias("key"),
+            x["s"].alias("s"),
+            x["n"].alias("n"),
+            F.lit(0).alias("around"),
+        ),
+    )
+    runs = F.transform(
+        selected,
+        lambda x: F.struct(
+            x["key"].alias("key"), x["s"].alias("s"), F.get("grams", x["s"]).alias("n"), F.lit(guarantee).alias("around")
+        ),
+    )
+    exploded = keyed.select("id", "text_key", "units", F.explode(F.concat(runs, whole)).alias("x"))
     s = F.col("x.s")
-    size = F.get("grams", s)
+    size = F.col("x.n")
+    around = F.col("x.around")
     unit = lambda i: F.get("units", i)
     pick = lambda u: F.struct(u["h"].alias("h"), u["line"].alias("line"))
-    after = F.slice("units", s + size + 1, F.lit(guarantee))
-    before = F.reverse(F.slice("units", F.greatest(s - guarantee, F.lit(0)) + 1, F.least(s, F.lit(guarantee))))
+    after = F.slice("units", s + size + 1, around)
+    before = F.reverse(F.slice("units", F.greatest(s - around, F.lit(0)) + 1, F.least(s, around)))
     return exploded.select(
         F.unhex(F.col("x.key")).alias("key"),
         "id",
@@ -133,7 +163,8 @@ def repeated_runs(
 
     Places are ordered by id, text hash and line. Each fingerprint's first place is found by a
     grouped minimum; every other place looks it up and compares the lines around, so no two places
-    are paired. Keys with a large part of the places are met by a small broadcast.
+    are paired. Keys with a large part of the places are met by a small broadcast. A run that only
+    later places share is found by its windows, whose first place is the first of these.
     """
     found = cut_lineage(fingerprints(docs, id_col, text_col, guarantee, gram))
     place = F.struct("id", "text_key", "first")
@@ -158,8 +189,17 @@ def repeated_runs(
             F.coalesce(F.get("after", on - 1)["line"], F.col("last")).alias("last"),
         ).alias("run"),
     )
-    # a text's own runs: as many as its fingerprints
-    return runs.groupBy("id", "text_key").agg(F.array_sort(F.collect_set("run")).alias("runs"))
+    # a text's own runs: as many as its fingerprints; overlapping ones become one
+    own = Window.partitionBy("id", "text_key").orderBy("first", "last")
+    earlier = F.max("last").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    begun = runs.select("id", "text_key", "run.*").distinct().withColumn(
+        "begins", F.coalesce(F.col("first") > earlier, F.lit(True)).cast("int")
+    )
+    joined = begun.withColumn("part", F.sum("begins").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = joined.groupBy("id", "text_key", "part").agg(
+        F.struct(F.min("first").alias("first"), F.max("last").alias("last")).alias("run")
+    )
+    return parts.groupBy("id", "text_key").agg(F.array_sort(F.collect_list("run")).alias("runs"))
 
 
 def dedup_lines(
@@ -173,8 +213,8 @@ def dedup_lines(
 
     The earliest place of a run stays: the least id (nulls first), then text hash, then line. A
     run within one document counts too. Blank lines inside a deleted run go with it. Every
-    repeated run of whole lines with ``guarantee`` words loses a fingerprint at least, and all
-    lines around that are equal.
+    repeated run of whole lines with ``guarantee`` words goes in whole, whatever else its lines
+    repeat; shorter runs go with a fingerprint inside that the fingerprint's first place has.
 
     Rows with equal id and text are one document that is there twice: they lose the same lines. A
     null text stays null and has no lines; columns called like results give way to them. An empty

@@ -105,6 +105,19 @@ def test_every_long_repeated_run_goes(spark):
     assert all(row.n_removed < row.n_lines for row in cleaned.values() if row.doc_id < 1000)
 
 
+def test_run_that_only_later_places_share_goes(spark):
+    rows, expected = [], {}
+    for n in range(12):  # the first document shares no more than one long line with the others
+        g, x, y = prose(5000 + n, 26), prose(5100 + n, 15), prose(5200 + n, 15)
+        for k, text in enumerate([f"{g}\n{prose(5300 + n, 26)}", f"{x}\n{g}\n{y}", f"{x}\n{g}\n{y}\nend {n}"]):
+            rows.append((100 * k + n, text))
+        expected[200 + n] = f"end {n}"
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    cleaned = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert {key: cleaned[key] for key in expected} == expected
+    assert all(cleaned[key] == text for key, text in rows if key < 100)
+
+
 def test_base_score_is_exact_and_model_helps(spark):
     docs = table(spark, SMALL, "documents")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
