@@ -145,6 +145,9 @@ class Encoder:
     words is a piece by itself, so such pieces have the same ids alone as in their text. Each
     distinct piece is encoded once. A text with two neighbouring white-space characters is cut
     only where a blank stands between a visible character and a letter.
+
+    A text that holds an added token such as ``<|endoftext|>`` is encoded in whole, as the library
+    finds these before it splits, and none of its pieces is remembered.
     """
 
     _DOUBLE = re.compile(r"\s\s|[^\S \n]|\x00")
@@ -155,10 +158,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [x for x in self.tokenizer.get_added_tokens_decoder().values() if x.content]
+        contents = sorted({x.content for x in added}, key=lambda x: (-len(x), x))
+        self.added = re.compile("|".join(map(re.escape, contents))) if contents else None
+        # such tokens are looked for in changed text, so any text may hold them
+        self.changing = self.tokenizer.normalizer is not None and any(x.normalized for x in added)
         self.end = struct.pack("<I", end_id)
         self.cached, self.known = cached, {}
 
+    def holds_added(self, text: str) -> bool:
+        return self.changing or (self.added is not None and self.added.search(text) is not None)
+
     def pieces(self, text: str) -> list[str]:
         if self._DOUBLE.search(text):
             return self._CUT.split(text)
@@ -169,6 +179,15 @@ class Encoder:
         return {x: np.array(e.ids, "<u4").tobytes() for x, e in zip(pieces, found)}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        whole = {n: text for n, text in enumerate(texts) if text and self.holds_added(text)}
+        encoded = self._encode_pieces([None if n in whole else text for n, text in enumerate(texts)])
+        if whole:
+            fresh = self._encode(list(set(whole.values())))
+            for n, text in whole.items():
+                encoded[n] = fresh[text] + self.end
+        return encoded
+
+    def _encode_pieces(self, texts: list[str | None]) -> list[bytes]:
         known = self.known
         cut = [self.pieces(text or "") for text in texts]
         missing = {x for pieces in cut for x in pieces if x not in known}

@@ -232,6 +232,23 @@ def test_tokens_equal_the_library_and_damage_is_found(spark, tmp_path):
         token_files.read_tokens(files).collect()
 
 
+def test_added_tokens_in_texts_equal_the_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    tokenizer = token_files.default_tokenizer()
+    library = Tokenizer.from_file(tokenizer)
+    mark = "<|endoftext|>"
+    texts = [
+        f"some {mark} more", mark, f"{mark}{mark}", f"a word,{mark}. b\n{mark}\n c", f"two  blanks {mark}", "a word, b",
+        f" {mark} ", "<|endoftext |>", "<|endoftext", f"<{mark}>", f"{mark} " * 300, "|> c",
+    ]
+    expected = {n: library.encode(t, add_special_tokens=False).ids + [2] for n, t in enumerate(texts)}
+    assert 50256 in expected[0]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    files = token_files.write_tokens(docs, str(tmp_path), tokenizer)
+    assert {r.doc_id: r.ids for r in token_files.read_tokens(files).collect()} == expected
+
+
 def test_pipeline_keeps_what_its_stages_say(spark):
     docs = table(spark, SMALL, "documents")
     lexicon = toxicity.learn_lexicon(docs, toxicity._training(table(spark, SMALL, "labels")))
