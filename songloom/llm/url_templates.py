@@ -17,7 +17,7 @@ RULES = {
     "net/es/": "block",
     "net/fr/": "block",
 }
-#: Segments of a path that have a level in the tree; what follows them is one wildcard.
+#: Levels that the SQL spells out, and that are met one by one; further ones are met by jumps.
 DEPTH = 4
 #: A node keeps this many children, or those that hold this part of its pages; others are variable.
 MAX_CHILDREN = 16
@@ -49,23 +49,67 @@ def fitting_rule(host: Column, path: Column, rules: dict[str, str]) -> tuple[Col
     return rule, verdict
 
 
-def _templates(pages: DataFrame, depth: int, max_children: int) -> DataFrame:
+def _wild(segment: Column) -> Column:
+    return F.concat(F.lit("*"), F.regexp_extract(segment, r"(\.[A-Za-z]+)$", 1))
+
+
+def _jumped(pages: DataFrame) -> DataFrame:
+    """``pages`` moved on to where the pages of their node part, or the first of them ends.
+
+    A level that all pages of a node pass alike has one child, which is kept, or a wildcard, so
+    long paths and traps of one page need no level each. The least and the greatest of a node's
+    paths have in common what all have.
+    """
+    rest = F.slice("segments", F.col("at") + 1, F.size("segments"))
+    steps = F.transform(rest, lambda x: F.when(x.rlike(VARIABLE), _wild(x)).otherwise(x))
+    here = pages.withColumn("_node", F.concat_ws("\n", "host", "template"))
+    ends = here.withColumn("_rest", steps).groupBy("_node").agg(
+        F.min("_rest").alias("_low"), F.max("_rest").alias("_high"), F.count(F.lit(1)).alias("_n")
+    )
+    differs = F.array_position(
+        F.zip_with("_low", "_high", lambda x, y: F.coalesce(x == y, F.lit(False))), False
+    )
+    length = F.when(differs > 0, differs - 1).otherwise(F.size("_low")).cast("int")
+    shared = cut_lineage(ends.select("_node", "_n", F.slice("_low", F.lit(1), length).alias("_shared")))
+    met = counted_lookup(here, shared, "_node", "_n", spread=["page", "path"])
+    moved = F.concat("template", F.array_join(F.transform("_shared", lambda x: F.concat(F.lit("/"), x)), ""))
+    return cut_lineage(
+        met.withColumn("template", moved)
+        .withColumn("at", F.col("at") + F.size("_shared"))
+        .drop("_node", "_n", "_shared")
+    )
+
+
+def _templates(pages: DataFrame, depth: int | None, max_children: int) -> DataFrame:
     """``pages`` with ``template``: variable segments become wildcards, level by level.
 
     A level counts the children of every node and looks up which are kept: at most
-    ``max_children`` for a node. Children with many pages are met by a small broadcast.
+    ``max_children`` for a node. Children with many pages are met by a small broadcast. Pages
+    whose path has ended take no further part. With ``depth``, what follows so many segments is
+    one wildcard.
     """
-    pages = pages.withColumn("template", F.lit(""))
-    deepest = pages.agg(F.max(F.least(F.size("segments"), F.lit(depth)))).first()[0] or 0
-    for level in range(deepest):
-        segment = F.get("segments", F.lit(level))
+    going = pages.withColumn("template", F.lit("")).withColumn("at", F.lit(0))
+    more = F.size("segments") > F.col("at")
+    if depth is not None:
+        more &= F.col("at") < depth
+    ended, level = [], 0
+    while True:
+        ended.append(going.filter(~more))
+        going = going.filter(more)
+        if going.isEmpty():
+            break
+        if depth is None and level >= DEPTH:
+            going = _jumped(going)
+            ended.append(going.filter(~more))
+            going = going.filter(more)
+            if going.isEmpty():
+                break
+        segment = F.get("segments", F.col("at"))
         variable = segment.rlike(VARIABLE)
         parent = F.concat_ws("\n", "host", "template")
         key = F.when(~variable, F.concat_ws("\n", parent, segment))
-        here = pages.withColumn("node_key", key).withColumn("_parent", parent)
-        counted = cut_lineage(
-            here.filter(segment.isNotNull()).groupBy("_parent", "node_key").agg(F.count(F.lit(1)).alias("_n"))
-        )
+        here = going.withColumn("node_key", key).withColumn("_parent", parent)
+        counted = cut_lineage(here.groupBy("_parent", "node_key").agg(F.count(F.lit(1)).alias("_n")))
         nodes = counted.groupBy(F.col("_parent").alias("_node")).agg(
             F.sum("_n").alias("_all"), F.count("node_key").alias("_children")
         )
@@ -77,12 +121,16 @@ def _templates(pages: DataFrame, depth: int, max_children: int) -> DataFrame:
             .select("node_key", "_n", F.lit(True).alias("_kept"))
         )
         met = counted_lookup(here, kept, "node_key", "_n", spread=["page", "path"])
-        wild = F.concat(F.lit("*"), F.regexp_extract(segment, r"(\.[A-Za-z]+)$", 1))
-        step = F.when(F.coalesce("_kept", F.lit(False)), segment).otherwise(wild)
-        grown = F.when(segment.isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), step))
-        pages = cut_lineage(met.withColumn("template", grown).drop("node_key", "_parent", "_n", "_kept"))
-    longer = F.size("segments") > depth
-    return pages.withColumn("template", F.when(longer, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
+        step = F.when(F.coalesce("_kept", F.lit(False)), segment).otherwise(_wild(segment))
+        grown = met.withColumn("template", F.concat("template", F.lit("/"), step)).withColumn("at", F.col("at") + 1)
+        going = cut_lineage(grown.drop("node_key", "_parent", "_n", "_kept"))
+        level += 1
+    placed = ended[0]
+    for part in ended[1:]:
+        placed = placed.unionByName(part)
+    longer = F.size("segments") > F.col("at")
+    whole = F.when(longer, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
+    return placed.withColumn("template", whole).drop("at")
 
 
 def _purity(templates: DataFrame) -> DataFrame:
@@ -114,7 +162,7 @@ def judge_urls(
     id_col: str = "page_id",
     url_col: str = "url",
     rules: dict[str, str] | None = None,
-    depth: int = DEPTH,
+    depth: int | None = None,
     max_children: int = MAX_CHILDREN,
     min_purity: float = MIN_PURITY,
 ) -> DataFrame:
@@ -122,7 +170,8 @@ def judge_urls(
 
     ``labels`` has ``doc_id`` (the page's id), ``quality`` and ``toxic``; a page is good if its
     quality is 1 and it isn't toxic. Pages without a rule are blocked if the smoothed part of good
-    pages under their template is below ``min_purity``.
+    pages under their template is below ``min_purity``. Templates have a level for every segment,
+    unless ``depth`` says after how many the rest is one wildcard.
 
     A row per row, repeated rows included. A null url, or one without ``://``, has empty host and
     path and the template of such. Null labels count as absent, an id labelled twice is good only

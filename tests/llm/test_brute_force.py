@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from songloom.llm import bloom_lm, line_dedup, mixing, near_join, queries, token_files, toxicity, weak_labels
+from songloom.llm import bloom_lm, line_dedup, mixing, near_join, queries, token_files, toxicity, url_templates, weak_labels
 from songloom.llm.common import table
 from songloom.storage import scratch_path
 from tests.llm.odd import prose
@@ -232,6 +233,43 @@ def test_tokens_equal_the_library_and_damage_is_found(spark, tmp_path):
         token_files.read_tokens(files).collect()
 
 
+def _plain_templates(paths: list[tuple], most: int) -> dict:
+    """The template of every path, level by level, by a plain program."""
+    template = {path: "" for path in paths}
+    wild = lambda x: "*" + (re.search(r"(\.[A-Za-z]+)$", x) or [""])[0]
+    for level in range(max(map(len, paths))):
+        nodes = defaultdict(Counter)
+        longer = [path for path in paths if len(path) > level]
+        for path in longer:
+            nodes[template[path]][path[level]] += 1
+        grown = {}
+        for path in set(longer):
+            node, own = nodes[template[path]], path[level]
+            fixed = [x for x in node if not re.match(url_templates.VARIABLE, x)]
+            stays = own in fixed and (len(fixed) <= most or node[own] * most >= sum(node.values()))
+            grown[path] = f"{template[path]}/{own if stays else wild(own)}"
+        template |= grown
+    return template
+
+
+def test_paths_are_judged_at_every_level(spark):
+    rows = [(n, f"http://h.org/a/b/c/d/{'spam' if n % 2 else 'docs'}/{n}") for n in range(80)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(n, 1 - n % 2, 0) for n in range(80)], "doc_id long, quality int, toxic int")
+    verdicts = {r.page_id: r.verdict for r in url_templates.judge_urls(pages, labels, rules={}).collect()}
+    assert verdicts == {n: "block" if n % 2 else "allow" for n in range(80)}
+    draw = random.Random(3)
+    paths = [tuple(draw.choices(["a", "b", "c.html", "7", "8.html"], [6, 2, 1, 1, 1], k=draw.randint(0, 7))) for _ in range(300)]
+    paths += [("a",) * 40 + (x,) for x in ("b", "9", "c")] + [("trap", "1") * 30] * 2
+    parted = spark.createDataFrame(
+        [(n, "h", "/" + "/".join(p), list(p)) for n, p in enumerate(paths)],
+        "page long, host string, path string, segments array<string>",
+    )
+    found = {r.page: r.template for r in url_templates._templates(parted, None, 2).collect()}
+    expected = _plain_templates(paths, 2)
+    assert found == {n: expected[p] for n, p in enumerate(paths)}
+
+
 def test_added_tokens_in_texts_equal_the_library(spark, tmp_path):
     from tokenizers import Tokenizer
 
