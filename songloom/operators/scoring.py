@@ -139,10 +139,12 @@ def top_scores(
     return found.withColumn("rank", place).filter(F.col("rank") <= n)
 
 
-def top_for_users(users: DataFrame, items: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+def top_for_users(
+    users: DataFrame, items: DataFrame, wanted: DataFrame, n: int, digits: int | None = None
+) -> DataFrame:
     """:func:`top_scores` of the users in ``wanted(user_index)``, filtered before any scoring."""
     ids = wanted.select(F.col("user_index").cast("int").alias("id")).dropDuplicates()
-    return top_scores(users.join(ids, "id", "left_semi"), items, n)
+    return top_scores(users.join(ids, "id", "left_semi"), items, n, digits)
 
 
 def score_summary(

@@ -808,7 +808,8 @@ def user_index_filter(spark, sf):
     """Recommendations of some users only: those whose first factor is positive."""
     users, items = factors(spark, sf)
     wanted = users.filter(F.get("features", F.lit(0)) > 0)
-    return scoring.top_for_users(users, items, wanted.select(F.col("id").alias("user_index")), 5)
+    picked = wanted.select(F.col("id").alias("user_index"))
+    return scoring.top_for_users(users, items, picked, 5, digits=6)
 
 
 @query()
