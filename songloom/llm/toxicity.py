@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +23,7 @@ THRESHOLD = 0.7
 #: A pattern needs this many toxic documents and this log ratio of its shares of the two classes.
 MIN_SUPPORT, MIN_WEIGHT = 3, math.log(20)
 _SHORTEST, _LONGEST = 3, 12  # letters of a learned word start
+_BUFFER, _EMITTED = 1_000_000, 50_000  # counts that a task holds, and rows of one batch
 _DAMPING = 50  # words added to a text's length, so a hit in a short text isn't everything
 
 # Look-alike letters of other scripts, and digits or signs written for letters.
@@ -119,26 +119,50 @@ def _word_starts(folded: str) -> set[str]:
     return found
 
 
-def _count_patterns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _class_counts(
+    batches: Iterator[pa.RecordBatch], found: Callable[[str], set[str]]
+) -> Iterator[pa.RecordBatch]:
+    """How many clean and how many toxic texts show each thing that ``found`` gives for a text.
+
+    A task sums up to ``_BUFFER`` things before it emits them, and emits nothing if it saw none.
+    """
+
+    def emitted() -> Iterator[pa.RecordBatch]:
+        keys = list(counts[0] | counts[1])
+        for first in range(0, len(keys), _EMITTED):
+            part = keys[first : first + _EMITTED]
+            columns = [pa.array(part, pa.string())]
+            columns += [pa.array([count[x] for x in part], pa.int64()) for count in counts]
+            yield pa.RecordBatch.from_arrays(columns, ["thing", "n_clean", "n_toxic"])
+
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     for batch in batches:
-        for text, toxic in zip(batch["body"], batch["toxic"]):
-            counts[int(toxic)].update(_word_starts(fold(text)))
-    patterns = list(counts[0] | counts[1])
-    yield pd.DataFrame(
-        {
-            "pattern": patterns,
-            "n_clean": [counts[0][x] for x in patterns],
-            "n_toxic": [counts[1][x] for x in patterns],
-        }
+        for text, toxic in zip(batch["body"].to_pylist(), batch["toxic"].to_pylist()):
+            counts[int(toxic)].update(found(fold(text)))
+            if len(counts[0]) + len(counts[1]) > _BUFFER:
+                yield from emitted()
+                counts = (Counter(), Counter())
+    yield from emitted()
+
+
+def _count_patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _class_counts(batches, _word_starts)
+
+
+_COUNTS = "thing string, n_clean long, n_toxic long"
+
+
+def _summed(counted: DataFrame) -> DataFrame:
+    return counted.groupBy("thing").agg(
+        F.sum("n_clean").alias("n_clean"), F.sum("n_toxic").alias("n_toxic")
     )
 
 
 def _select(rows: list, n_clean: int, n_toxic: int) -> dict[str, float]:
     """Of each chain of word starts, the longest that still finds nearly all of the toxic texts."""
-    toxic = {row.pattern: row.n_toxic for row in rows}
+    toxic = {row.thing: row.n_toxic for row in rows}
     weight = {
-        row.pattern: math.log((row.n_toxic + 0.5) / (n_toxic + 1))
+        row.thing: math.log((row.n_toxic + 0.5) / (n_toxic + 1))
         - math.log((row.n_clean + 0.5) / (n_clean + 1))
         for row in rows
     }
@@ -169,44 +193,30 @@ def _phrases(folded: str, machine: ahocorasick.Automaton) -> set[str]:
 def _learn_exceptions(sample: DataFrame, lexicon: Lexicon) -> list[str]:
     """Two-word phrases around a pattern that clean texts use and toxic ones don't."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = lexicon.automaton()
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
-        for batch in batches:
-            for text, toxic in zip(batch["body"], batch["toxic"]):
-                counts[int(toxic)].update(_phrases(fold(text), machine))
-        phrases = list(counts[0] | counts[1])
-        yield pd.DataFrame(
-            {
-                "phrase": phrases,
-                "n_clean": [counts[0][x] for x in phrases],
-                "n_toxic": [counts[1][x] for x in phrases],
-            }
-        )
+        return _class_counts(batches, lambda folded: _phrases(folded, machine))
 
-    counted = sample.mapInPandas(count, "phrase string, n_clean long, n_toxic long")
-    kept = (
-        counted.groupBy("phrase")
-        .agg(F.sum("n_clean").alias("clean"), F.sum("n_toxic").alias("toxic"))
-        .filter((F.col("clean") >= 2) & (F.col("toxic") == 0))
-    )
-    return sorted(row.phrase for row in kept.collect())  # from a sample of bounded size
+    kept = _summed(sample.mapInArrow(count, _COUNTS)).filter("n_clean >= 2 AND n_toxic = 0")
+    return sorted(row.thing for row in kept.collect())  # from a sample of bounded size
 
 
 def _calibrate(sample: DataFrame, lexicon: Lexicon) -> tuple[float, float, float]:
     """Logistic regression of the label on a text's damped weights, from a table of counts."""
 
-    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = lexicon.automaton()
         for batch in batches:
-            out = []
-            for text, toxic in zip(batch["body"], batch["toxic"]):
+            out: list[list[int]] = [[], []]
+            for text in batch["body"].to_pylist():
                 folded = fold(text)
-                total, rate = _features(sum(hits(folded, machine).values()), folded.count(" ") - 1)
-                out.append((round(4 * total), round(4 * rate), int(toxic)))
-            yield pd.DataFrame(out, columns=["total", "rate", "toxic"])
+                weight = sum(hits(folded, machine).values())
+                for column, value in zip(out, _features(weight, folded.count(" ") - 1)):
+                    column.append(round(4 * value))
+            arrays = [*[pa.array(column, pa.int32()) for column in out], batch["toxic"]]
+            yield pa.RecordBatch.from_arrays(arrays, ["total", "rate", "toxic"])
 
-    counted = sample.mapInPandas(cells, "total int, rate int, toxic int")
+    counted = sample.mapInArrow(cells, "total int, rate int, toxic int")
     rows = counted.groupBy("total", "rate", "toxic").count().collect()  # a grid of two logarithms
     if not rows:
         return Lexicon().coefficients
@@ -259,11 +269,7 @@ def learn_lexicon(
     n_clean, n_toxic = sizes.get(0, 0), sizes.get(1, 0)
     lexicon = Lexicon()
     if n_clean and n_toxic:
-        counted = (
-            sample.mapInPandas(_count_patterns, "pattern string, n_clean long, n_toxic long")
-            .groupBy("pattern")
-            .agg(F.sum("n_clean").alias("n_clean"), F.sum("n_toxic").alias("n_toxic"))
-        )
+        counted = _summed(sample.mapInArrow(_count_patterns, _COUNTS))
         share = F.log((F.col("n_toxic") + 0.5) / (n_toxic + 1)) - F.log(
             (F.col("n_clean") + 0.5) / (n_clean + 1)
         )
@@ -308,7 +314,11 @@ def score_toxicity(
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that aren't predicted toxic, with all their columns."""
+    """The rows of ``docs`` that aren't predicted toxic, with all their columns.
+
+    A null or empty text stays; repeated rows stay or go alike. An empty table, or labels without
+    examples of both classes, reject nothing. Columns of ``docs`` may have any name.
+    """
     lexicon = learn_lexicon(docs, _training(labels), text_col=text_col)
     plain, place = plain_names(docs)
     scored = score_toxicity(plain, lexicon, place[text_col])
