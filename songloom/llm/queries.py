@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from songloom.llm.bloom_lm import op5_lm_scoring
 from songloom.llm.decontaminate import OP10_SQL, op10_benchmark_decontamination
+from songloom.llm.fill_middle import OP11_SQL, op11_fill_in_middle
 from songloom.llm.host_rules import OP2_SQL, op2_host_rules
 from songloom.llm.line_dedup import op9_line_dedup
 from songloom.llm.mixing import OP7_SQL, op7_mixing
@@ -26,10 +27,12 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_line_dedup": op9_line_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 SQL = {
     "op2_host_rules": OP2_SQL,
     "op3_url_filters": OP3_SQL,
     "op7_mixing": OP7_SQL,
     "op10_benchmark_decontamination": OP10_SQL,
+    "op11_fill_in_middle": OP11_SQL,
 }
