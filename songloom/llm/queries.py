@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from songloom.llm.bloom_lm import op5_lm_scoring
+from songloom.llm.collocations import OP13_SQL, op13_collocations
 from songloom.llm.decontaminate import OP10_SQL, op10_benchmark_decontamination
 from songloom.llm.fill_middle import OP11_SQL, op11_fill_in_middle
 from songloom.llm.host_rules import OP2_SQL, op2_host_rules
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_collocations": op13_collocations,
 }
 SQL = {
     "op2_host_rules": OP2_SQL,
@@ -35,4 +37,5 @@ SQL = {
     "op7_mixing": OP7_SQL,
     "op10_benchmark_decontamination": OP10_SQL,
     "op11_fill_in_middle": OP11_SQL,
+    "op13_collocations": OP13_SQL,
 }
