@@ -8,6 +8,7 @@ from songloom.llm.collocations import OP13_SQL, op13_collocations
 from songloom.llm.decontaminate import OP10_SQL, op10_benchmark_decontamination
 from songloom.llm.fill_middle import OP11_SQL, op11_fill_in_middle
 from songloom.llm.host_rules import OP2_SQL, op2_host_rules
+from songloom.llm.html_templates import op12_html_extraction
 from songloom.llm.line_dedup import op9_line_dedup
 from songloom.llm.mixing import OP7_SQL, op7_mixing
 from songloom.llm.near_join import op4_ngram_jaccard_join
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_html_extraction": op12_html_extraction,
     "op13_collocations": op13_collocations,
 }
 SQL = {
