@@ -34,6 +34,7 @@ SCALE = 2_000_000
 #: 64-bit words of the filter, at most: 8 MB. A fuller filter lets more phrases through to the join.
 MAX_SLOTS = 1 << 20
 _BITS_PER_PHRASE = 16
+_BITS = 64  # of a word's number
 _BREAK = 0  # stands between pieces and documents; no word has this number
 _CHUNK_BYTES, _CHUNK_WORDS = 8 << 20, 1 << 20
 _SEEN = 1_000_000  # words whose spelling a task remembers to have emitted
@@ -43,23 +44,28 @@ _PIECE_END = r"[.,;:!?\n\x0b\x0c\r]"
 # --- encoding ------------------------------------------------------------------------------------
 
 
-def _hashed(words: np.ndarray, seed: int) -> np.ndarray:
+def _hashed(words: np.ndarray, seed: int, bits: int) -> np.ndarray:
     if not len(words):
         return np.zeros(0, np.int64)
-    numbers = pd.util.hash_array(words, hash_key=f"{seed:016d}", categorize=False).view(np.int64)
+    numbers = pd.util.hash_array(words, hash_key=f"{seed:016d}", categorize=False)
+    numbers = (numbers >> np.uint64(64 - bits)).view(np.int64)
     return np.where(numbers == _BREAK, 1, numbers)
 
 
-def _encode(texts: pa.Array, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _encode(
+    texts: pa.Array, seed: int, bits: int = _BITS
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Numbers of the words of some texts with breaks between pieces, how many each text has, and
     the distinct words with their numbers."""
-    plain = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    # a copy, because the functions below misread an array that begins inside its buffer
+    texts = texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string())
+    plain = pc.ascii_lower(pc.fill_null(texts, ""))
     cut = pc.replace_substring_regex(plain, pattern=_PIECE_END, replacement=" \n ")
     lists = pc.split_pattern(pc.replace_substring(cut, "\t", " "), " ")
     coded = lists.flatten().dictionary_encode()
     words = coded.dictionary.to_numpy(zero_copy_only=False)
     is_word = (words != "") & (words != "\n")
-    numbers = np.where(is_word, _hashed(words, seed), _BREAK)
+    numbers = np.where(is_word, _hashed(words, seed, bits), _BREAK)
     codes = coded.indices.to_numpy()
     values, kept = numbers[codes], (words != "")[codes]
     # a break after a break adds nothing
@@ -90,16 +96,17 @@ _ENCODED = pa.schema(
         "spelled": pa.list_(pa.string()),
     }
 )
+_NUMBERINGS = 20  # tried before giving up
 _SPELLING = -1  # the shard of rows that hold words and how they are spelled
 
 
-def _encoder(seed: int, shards: int):
+def _encoder(seed: int, shards: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         dealt = 0
         for batch in batches:
             for part in _slices(batch, 1):
-                values, sizes, spelled, numbers = _encode(part.column(1), seed)
+                values, sizes, spelled, numbers = _encode(part.column(1), seed, bits)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays(
@@ -130,7 +137,9 @@ def _encoder(seed: int, shards: int):
     return run
 
 
-def _encoded(docs: DataFrame, text_col: str, lang_col: str, shards: int) -> tuple[DataFrame, DataFrame]:
+def _encoded(
+    docs: DataFrame, text_col: str, lang_col: str, shards: int, bits: int = _BITS
+) -> tuple[DataFrame, DataFrame]:
     """The documents as numbers, and each word's number; no two words share one."""
     spark = docs.sparkSession
     read = docs.select(
@@ -138,10 +147,10 @@ def _encoded(docs: DataFrame, text_col: str, lang_col: str, shards: int) -> tupl
         docs[text_col].cast("string").alias("body"),
     )
     schema = "shard int, lang string, words array<long>, spelled array<string>"
-    for seed in range(100):
+    for seed in range(_NUMBERINGS):
         path = scratch_path(spark, "encoded")
         # numbers repeat: a large dictionary of a column chunk keeps them small
-        made = read.mapInArrow(_encoder(seed, shards), schema)
+        made = read.mapInArrow(_encoder(seed, shards, bits), schema)
         made.write.partitionBy("shard").option("parquet.dictionary.page.size", 8 << 20).parquet(path)
         stored = spark.read.schema(schema).parquet(path)
         pairs = stored.filter(F.col("shard") == _SPELLING).select(
@@ -154,7 +163,7 @@ def _encoded(docs: DataFrame, text_col: str, lang_col: str, shards: int) -> tupl
         )
         if spelling.filter("word <> last").isEmpty():
             return stored.filter(F.col("shard") >= 0), spelling.select("number", "word")
-    raise RuntimeError("a hundred ways to number words all gave two words one number")
+    raise RuntimeError("no way to number words kept them apart")
 
 
 # --- scans ---------------------------------------------------------------------------------------

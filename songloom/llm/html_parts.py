@@ -54,6 +54,7 @@ _PART = re.compile(
 _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _OTHER = re.compile(r"[^a-z]+")
+_NUMBER = re.compile(r"[0-9]{3,}")
 
 
 def digest(text: str) -> int:
@@ -68,12 +69,12 @@ def _path(parent: int, step: str) -> int:
 
 @lru_cache(maxsize=4096)
 def _names(attributes: str) -> tuple[str, frozenset[str]]:
-    """The attributes' part of a path, without digits, and the words that name its element."""
+    """The attributes' part of a path, without long numbers, and the words that name its element."""
     signature, words = [], set()
     for key, *values in _NAMED.findall(attributes):
         for item in html.unescape("".join(values)).split():
             parts = [x for x in _OTHER.split(_CAMEL.sub("-", item).lower()) if x]
-            signature.append(f"{key.lower()}={'-'.join(parts)}")
+            signature.append(f"{key.lower()}={_NUMBER.sub('#', item)}")
             if parts and parts[0] not in _NOT_ABOUT:
                 words.update(parts)
     return ",".join(sorted(signature)), frozenset(words)
@@ -260,7 +261,7 @@ def roles(page: Page) -> Roles:
     for block in page.blocks:
         own[block.element] += len(block.text)
     chars = own[:]
-    wraps = [False] * n  # holds an article or main part
+    wraps = [0] * n  # articles and main parts inside
     is_article = [
         tag in ("article", "main") and not names & COMMENTS
         for tag, names in zip(page.tags, page.names)
@@ -268,7 +269,7 @@ def roles(page: Page) -> Roles:
     for element in range(n - 1, 0, -1):
         parent = page.parents[element]
         chars[parent] += chars[element]
-        wraps[parent] |= wraps[element] or is_article[element]
+        wraps[parent] += wraps[element] + is_article[element]
     dropped, article = [False] * n, [-1] * n
     for element in range(1, n):
         parent, tag, names = page.parents[element], page.tags[element], page.names[element]
@@ -277,9 +278,13 @@ def roles(page: Page) -> Roles:
             article[element] = element
         if dropped[parent]:
             dropped[element] = True
-        elif tag in ("html", "body") or wraps[element]:
+        elif tag in ("html", "body"):
             continue
-        elif tag in DROPPED or names & COMMENTS:
+        elif names & COMMENTS and (article[element] >= 0 or wraps[element] < wraps[0] or not wraps[0]):
+            dropped[element] = True
+        elif wraps[element]:
+            continue
+        elif tag in DROPPED:
             dropped[element] = True
         elif is_article[element]:
             continue
