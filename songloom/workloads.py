@@ -22,6 +22,7 @@ from songloom.operators import (
     indexing,
     metrics,
     playlists,
+    pruned,
     results,
     scoring,
     search,
@@ -795,7 +796,7 @@ def predict_pairs_als(spark, sf):
 
 
 @query()
-def topn_all_users(spark, sf):
+def topn_all_users_als(spark, sf):
     ready = fitted(spark, sf, "default", als.DEFAULT)
     return scoring.flatten_recs(als.recommend_all(ready.model, 10))
 
@@ -841,8 +842,11 @@ def training_report(spark, sf):
     return als.report(als.train_and_evaluate(rows, SEED))
 
 
-def adam_sql(dim: int, step: float, epochs: int) -> str:
-    """The training of the embeddings, one materialised table per step."""
+def adam_sql(dim: int, step: float, epochs: int, rows: str = "true") -> str:
+    """The training of the embeddings, one materialised table per step, the last one ``trained``.
+
+    ``rows`` says which rows of ``all_data(user_id, song_id, user_index, song_index)`` are trained on.
+    """
 
     def uniform(part: str) -> str:
         text = f"concat_ws('|', kind, CAST(id AS VARCHAR), '{SEED}/' || CAST(i AS VARCHAR) || '/{part}')"
@@ -853,12 +857,13 @@ def adam_sql(dim: int, step: float, epochs: int) -> str:
         user_index AS (
           SELECT user_id, row_number() OVER (ORDER BY count(*) DESC, user_id) - 1 AS user_index
           FROM triplets GROUP BY user_id),
-        data AS MATERIALIZED (
-          SELECT row_number() OVER () AS row, u.user_index, s.song_index
+        all_data AS MATERIALIZED (
+          SELECT row_number() OVER () AS row, t.user_id, t.song_id, u.user_index, s.song_index
           FROM triplets t JOIN user_index u ON t.user_id = u.user_id
                           JOIN song_index s ON t.song_id = s.song_id),
-        ids AS (SELECT 'user' AS kind, user_index AS id FROM user_index
-                UNION ALL SELECT 'song', song_index FROM song_index),
+        data AS MATERIALIZED (SELECT row, user_index, song_index FROM all_data WHERE {rows}),
+        ids AS (SELECT DISTINCT 'user' AS kind, user_index AS id FROM data
+                UNION ALL SELECT DISTINCT 'song', song_index FROM data),
         w0 AS MATERIALIZED (
           SELECT kind, id, i, sqrt(-2 * ln({uniform('a')})) * cos({uniform('b')} * 2 * pi()) AS w,
                  0.0::DOUBLE AS m, 0.0::DOUBLE AS v
@@ -892,10 +897,47 @@ def adam_sql(dim: int, step: float, epochs: int) -> str:
                          / (sqrt(v / (1 - power(0.999::DOUBLE, {time}))) + 1e-8::DOUBLE) AS w
               FROM moments{time})"""
         )
-    return ", ".join(parts) + f" SELECT kind, id, i, round(w, 6) AS weight FROM w{epochs}"
+    return ", ".join(parts) + f", trained AS (SELECT kind, id, i, w FROM w{epochs})"
+
+
+DIM, STEP, EPOCHS = 5, 0.01, 5
+VECTORS_SQL = f"""{adam_sql(DIM, STEP, EPOCHS)},
+vectors AS MATERIALIZED (
+  SELECT kind, id, list(w ORDER BY i) AS features FROM trained GROUP BY kind, id)"""
+_trained: dict[tuple[str, str], DataFrame] = {}
+
+
+def trained(spark, sf) -> DataFrame:
+    """Embeddings of users and songs: a model whose training SQL repeats. One training per session
+    and folder, stored as a table and shared by the queries below."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _trained:
+        rows = cleaning.with_weight(indexed_triplets(spark, sf))
+        _trained[key] = cut_lineage(embedding.fit_embeddings(rows, SEED, dim=DIM, step=STEP, epochs=EPOCHS))
+    return _trained[key]
+
+
+def trained_sides(spark, sf) -> tuple[DataFrame, DataFrame]:
+    model = trained(spark, sf)
+    side = lambda kind: model.filter(F.col("kind") == kind).select("id", "features")
+    return side(embedding.USER), side(embedding.SONG)
+
+
+@query(
+    f"""{VECTORS_SQL},
+    scores AS (
+      SELECT u.id AS user, s.id AS item, round(list_dot_product(u.features, s.features), 6) + 0.0 AS score
+      FROM vectors u, vectors s WHERE u.kind = 'user' AND s.kind = 'song')
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user ORDER BY score DESC, item) AS rank
+                   FROM scores) WHERE rank <= 10"""
+)
+def topn_all_users(spark, sf):
+    """The ten best songs of every user under the trained embeddings."""
+    users, songs_ = trained_sides(spark, sf)
+    return pruned.top_scores_pruned(users, songs_, 10, digits=6, first_tier=512)
 
 
-@query(adam_sql(dim=5, step=0.01, epochs=5))
+@query(f"{adam_sql(DIM, STEP, EPOCHS)} SELECT kind, id, i, round(w, 6) AS weight FROM trained")
 def fm_train(spark, sf):
     """Embeddings of users and songs, read back from where the training wrote them."""
     rows = cleaning.with_weight(indexed_triplets(spark, sf))
