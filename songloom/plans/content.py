@@ -105,28 +105,32 @@ def _score(same_release: Column, apart: Column) -> Column:
     return release + closeness * YEAR_WEIGHT
 
 
-def score_content(catalog: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``pairs(song_id, candidate)`` with their ``content`` score, 0 for different artists."""
+def profiles(catalog: DataFrame) -> DataFrame:
+    """What content compares: one row per song with an artist; a missing year counts as 0."""
     rows = catalog.filter(F.col("song_id").isNotNull() & F.col("artist_name").isNotNull())
     details = ["release", "artist_name", F.coalesce("year", F.lit(0)).alias("year")]
-    items = dedupe_by_key(rows.select("song_id", *details), ["song_id"])
+    return dedupe_by_key(rows.select("song_id", *details), ["song_id"])
+
+
+def profile_score(x: str, y: str) -> Column:
+    """Content score of two profiles ``struct(release, artist_name, year)``; 0 for different artists."""
+    score = _score(F.col(f"{x}.release") == F.col(f"{y}.release"), _years_apart(f"{x}.year", f"{y}.year"))
+    same_artist = F.col(f"{x}.artist_name") == F.col(f"{y}.artist_name")
+    return F.when(same_artist, score).otherwise(0.0)
+
+
+def score_content(catalog: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs(song_id, candidate)`` with their ``content`` score, 0 for different artists."""
+    items = profiles(catalog)
     x = items.select("song_id", F.struct("release", "artist_name", "year").alias("x"))
     y = items.select(F.col("song_id").alias("candidate"), F.struct("release", "artist_name", "year").alias("y"))
     both = pairs.join(x, "song_id", "left").join(y, "candidate", "left")
-    score = _score(F.col("x.release") == F.col("y.release"), _years_apart("x.year", "y.year"))
-    same_artist = F.col("x.artist_name") == F.col("y.artist_name")
-    return both.select("song_id", "candidate", F.when(same_artist, score).otherwise(0.0).alias("content"))
+    return both.select("song_id", "candidate", profile_score("x", "y").alias("content"))
 
 
 def content_similarity(catalog: DataFrame, k: int = 10) -> DataFrame:
     """The k most similar songs of every song as ``(song_id, candidate, score, rank)``."""
-    rows = catalog.filter(F.col("song_id").isNotNull() & F.col("artist_name").isNotNull())
-    items = dedupe_by_key(
-        rows.select(
-            "song_id", "release", "artist_name", F.coalesce("year", F.lit(0)).alias("year")
-        ),
-        ["song_id"],
-    )
+    items = profiles(catalog)
     profile = ["artist_name", "release", "year"]
     heads = _first(items, profile, ["song_id"], k + 1)
     same = _same_release(heads, k).withColumnRenamed("listed", "same")

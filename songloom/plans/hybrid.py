@@ -2,34 +2,128 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from songloom.plans.content import content_similarity, score_content
-from songloom.plans.cooccurrence import item_cooccurrence, score_cooccurrence
+from songloom.operators.skew import counted_lookup
+from songloom.plans.content import RELEASE_WEIGHT, content_similarity, profile_score, profiles
+from songloom.plans.cooccurrence import item_cooccurrence, listeners, mark_widest, song_pairs
 from songloom.storage import cut_lineage
 
 
+PAIR = ["song_id", "candidate"]
+_DEEPER = 4  # how much longer the lists of a song become whose best blends aren't certain yet
+
+
+def _facts(heard: DataFrame, catalog: DataFrame, wide: int) -> DataFrame:
+    """Per song: listeners, which of the widest users heard it, and its profile."""
+    sizes = heard.groupBy("user_id").agg(F.count(F.lit(1)).alias("songs"))
+    known = mark_widest(heard, sizes, wide).groupBy("song_id").agg(
+        F.count(F.lit(1)).alias("size"),
+        F.coalesce(F.bit_or(F.expr("shiftleft(1L, bit)")), F.lit(0)).alias("bits"),
+    )
+    profile = profiles(catalog).select("song_id", F.struct("release", "artist_name", "year").alias("profile"))
+    return known.join(profile, "song_id", "full").fillna({"size": 0, "bits": 0})
+
+
+def _common_within_artists(heard: DataFrame, facts: DataFrame, wide: int) -> DataFrame:
+    """``(song_id, candidate, narrow)``: users in common, all but the widest, of songs of one artist.
+
+    Pairs are spelled out per user and artist, which are few songs each.
+    """
+    sizes = heard.groupBy("user_id").agg(F.count(F.lit(1)).alias("songs"))
+    narrow = mark_widest(heard, sizes, wide).filter(F.col("bit").isNull()).select("user_id", "song_id")
+    artists = facts.select("song_id", F.col("profile.artist_name").alias("artist"), "size")
+    placed = counted_lookup(narrow, artists, "song_id", "size").filter("artist IS NOT NULL")
+    shelf = F.struct("user_id", "artist").alias("user_id")
+    shelved = placed.select(shelf, F.col("song_id").alias("item"), F.lit(0).alias("facts"))
+    per_shelf = shelved.groupBy("user_id").agg(F.count(F.lit(1)).alias("songs")).filter("songs > 1")
+    pairs = song_pairs(shelved, per_shelf, wide).groupBy(F.col("a.item").alias("a"), F.col("b.item").alias("b"))
+    counted = pairs.agg(F.count(F.lit(1)).alias("narrow"))
+    ways = [counted.select(F.col(x).alias("song_id"), F.col(y).alias("candidate"), "narrow") for x, y in ("ab", "ba")]
+    return ways[0].unionByName(ways[1])
+
+
 def hybrid_similarity(
     interactions: DataFrame,
     catalog: DataFrame,
     alpha: float,
     k: int,
     heard: DataFrame | None = None,
+    wide: int = 1000,
 ) -> DataFrame:
-    """The k best blends among the candidates of either side, with both scores in full.
+    """The k best blends of every song over all pairs, with both scores in full.
+
+    A threshold algorithm over two ranked lists per song, co-occurrence and content. What the lists
+    show, and all pairs of one artist with a common user, is scored exactly. A pair not seen so has
+    either no content score and at most the last co-occurrence score, or at most the last content
+    score and users in common only among the widest. A song whose k-th best blend is above that bound is
+    done; the others go on with longer lists. Without wide users one round is enough.
 
-    Candidates are the k best of co-occurrence and the k best of content. A score that a side's own
-    list cut off is computed for the pair, so no candidate counts as unknown to the other side.
+    Pairs that blend to 0 are left out; ties go to the smaller candidate id. Songs in
+    ``heard(song_id)`` are left out of the candidates.
     """
-    pair = ["song_id", "candidate"]
-    near = cut_lineage(item_cooccurrence(interactions, k).select(*pair, F.col("score").alias("collaborative")))
-    like = cut_lineage(content_similarity(catalog, k).select(*pair))
-    rest = score_cooccurrence(interactions, cut_lineage(like.join(near, pair, "left_anti")))
-    collaborative = cut_lineage(near.unionByName(rest.select(*pair, "collaborative")))
-    content = score_content(catalog, collaborative.select(*pair))
-    named = lambda df, side: df.select(*pair, F.col(side).alias("score"))
-    return hybrid(named(collaborative, "collaborative"), named(content, "content"), alpha, k, heard)
+    known = cut_lineage(listeners(interactions))
+    facts = cut_lineage(_facts(known, catalog, wide))
+    within = _common_within_artists(known, facts, wide)
+    if heard is not None:
+        left_out = cut_lineage(heard.select(F.col("song_id").alias("candidate")).dropDuplicates())
+        within = within.join(left_out, "candidate", "left_anti")
+    within = cut_lineage(within)
+    x = facts.select("song_id", "size", "bits", F.col("profile").alias("x"))
+    y = facts.select(
+        F.col("song_id").alias("candidate"), F.col("size").alias("_size"), F.col("bits").alias("_bits"), F.col("profile").alias("y")
+    )
+    open_songs, finished, depth = None, [], k
+    while True:
+        near = cut_lineage(item_cooccurrence(interactions, depth, wide))
+        like = cut_lineage(content_similarity(catalog, depth))
+        sources = [
+            near.select(*PAIR, F.lit(0).cast("long").alias("narrow"), "common"),
+            like.select(*PAIR, F.lit(0).cast("long").alias("narrow"), F.lit(0).cast("long").alias("common")),
+        ]
+        if heard is not None:
+            sources = [source.join(left_out, "candidate", "left_anti").select(source.columns) for source in sources]
+        sources.append(within.select(*PAIR, "narrow", F.lit(0).cast("long").alias("common")))
+        if open_songs is not None:
+            sources = [source.join(open_songs, "song_id", "left_semi") for source in sources]
+        seen = sources[0].unionByName(sources[1]).unionByName(sources[2]).groupBy(*PAIR)
+        met = seen.agg(F.max("narrow").alias("narrow"), F.max("common").alias("common")).join(x, "song_id").join(y, "candidate")
+        common = F.greatest("common", F.col("narrow") + F.bit_count(F.col("bits").bitwiseAND(F.col("_bits"))))
+        both_sizes = F.sqrt((F.col("size") * F.col("_size")).cast("double"))
+        scored = met.select(
+            *PAIR,
+            F.when(common > 0, common / both_sizes).otherwise(0.0).alias("collaborative"),
+            F.coalesce(profile_score("x", "y"), F.lit(0.0)).alias("content"),
+        )
+        best = cut_lineage(_best_blends(scored, alpha, k))
+        last = lambda rows, name: rows.filter(F.col("rank") == depth).select("song_id", F.col("score").alias(name))
+        state = (
+            (x if open_songs is None else x.join(open_songs, "song_id", "left_semi"))
+            .join(last(near, "last_near"), "song_id", "left")
+            .join(last(like, "last_like"), "song_id", "left")
+            .join(best.filter(F.col("rank") == k).select("song_id", F.col("score").alias("floor")), "song_id", "left")
+            .fillna({"last_near": 0.0, "last_like": 0.0, "floor": 0.0})
+        )
+        of_near, of_like = F.col("last_near") * alpha, F.col("last_like") * (1 - alpha)
+        bound = F.greatest(of_near, of_like + F.when(F.col("bits") > 0, of_near).otherwise(0.0))
+        # both lists in blend order down to their ends: what they don't show comes later in any case
+        in_order = (F.col("bits") == 0) & (F.col("last_like") != RELEASE_WEIGHT) & F.lit(heard is None)
+        certain = in_order | (F.col("floor") > bound) | (bound == 0)
+        open_songs = cut_lineage(state.filter(~certain).select("song_id"))
+        finished.append(best.join(open_songs, "song_id", "left_anti").select(best.columns))
+        if open_songs.isEmpty():
+            return reduce(DataFrame.unionByName, finished)
+        depth *= _DEEPER
+
+
+def _best_blends(scored: DataFrame, alpha: float, k: int) -> DataFrame:
+    blend = F.col("collaborative") * alpha + F.col("content") * (1 - alpha)
+    place = F.row_number().over(Window.partitionBy("song_id").orderBy(F.desc("score"), "candidate"))
+    ranked = scored.withColumn("score", blend).filter("score > 0").withColumn("rank", place)
+    return ranked.filter(F.col("rank") <= k).select(*PAIR, "collaborative", "content", "score", "rank")
 
 
 def hybrid(

@@ -1051,14 +1051,11 @@ def content_similarity(spark, sf):
 
 @query(
     f"""{COOCCURRENCE_SQL}, {CONTENT_SQL},
-    wanted AS (
-      SELECT song_id, candidate FROM collaborative WHERE rank <= 10
-      UNION SELECT song_id, candidate FROM content WHERE rank <= 10),
     blended AS (
-      SELECT w.song_id, w.candidate, coalesce(l.score, 0) AS collaborative, coalesce(r.score, 0) AS content
-      FROM wanted w
-      LEFT JOIN collaborative l ON w.song_id = l.song_id AND w.candidate = l.candidate
-      LEFT JOIN scored r ON w.song_id = r.song_id AND w.candidate = r.candidate),
+      SELECT coalesce(l.song_id, r.song_id) AS song_id, coalesce(l.candidate, r.candidate) AS candidate,
+             coalesce(l.score, 0) AS collaborative, coalesce(r.score, 0) AS content
+      FROM collaborative l FULL JOIN (SELECT * FROM scored WHERE score > 0) r
+        ON l.song_id = r.song_id AND l.candidate = r.candidate),
     ranked AS (
       SELECT *, collaborative * 0.5::DOUBLE + content * 0.5::DOUBLE AS score FROM blended),
     placed AS (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY score DESC, candidate)
