@@ -36,8 +36,8 @@ MAX_SLOTS = 1 << 20
 _BITS_PER_PHRASE = 16
 _BITS = 64  # of a word's number
 _BREAK = 0  # stands between pieces and documents; no word has this number
-_CHUNK_BYTES, _CHUNK_WORDS = 8 << 20, 1 << 20
-_SEEN = 1_000_000  # words whose spelling a task remembers to have emitted
+_CHUNK_BYTES, _CHUNK_WORDS = 2 << 20, 1 << 20
+_SEEN = 200_000  # words whose spelling a task remembers to have emitted
 _PIECE_END = r"[.,;:!?\n\x0b\x0c\r]"
 
 
@@ -88,22 +88,20 @@ def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(first)
 
 
+#: Rows of documents have a language; rows without one hold words and how they are spelled.
 _ENCODED = pa.schema(
     {
-        "shard": pa.int32(),
         "lang": pa.string(),
         "words": pa.list_(pa.int64()),
         "spelled": pa.list_(pa.string()),
     }
 )
 _NUMBERINGS = 20  # tried before giving up
-_SPELLING = -1  # the shard of rows that hold words and how they are spelled
 
 
-def _encoder(seed: int, shards: int, bits: int):
+def _encoder(seed: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        dealt = 0
         for batch in batches:
             for part in _slices(batch, 1):
                 values, sizes, spelled, numbers = _encode(part.column(1), seed, bits)
@@ -111,14 +109,12 @@ def _encoder(seed: int, shards: int, bits: int):
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array((dealt + np.arange(n)) % shards, pa.int32()),
                         part.column(0),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
                         pa.nulls(n, pa.list_(pa.string())),
                     ],
                     schema=_ENCODED,
                 )
-                dealt += n
                 fresh = [k for k, number in enumerate(numbers.tolist()) if number not in seen]
                 if fresh:
                     if len(seen) > _SEEN:
@@ -126,7 +122,6 @@ def _encoder(seed: int, shards: int, bits: int):
                     seen.update(numbers[fresh].tolist())
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([_SPELLING], pa.int32()),
                             pa.nulls(1, pa.string()),
                             pa.array([numbers[fresh]], pa.list_(pa.int64())),
                             pa.array([spelled[fresh].tolist()], pa.list_(pa.string())),
@@ -139,30 +134,33 @@ def _encoder(seed: int, shards: int, bits: int):
 
 def _encoded(
     docs: DataFrame, text_col: str, lang_col: str, shards: int, bits: int = _BITS
-) -> tuple[DataFrame, DataFrame]:
-    """The documents as numbers, and each word's number; no two words share one."""
+) -> tuple[list[DataFrame], DataFrame]:
+    """The documents as numbers, a table per shard, and each word's number; no two words share one.
+
+    Shards are groups of the files that the encoding tasks wrote.
+    """
     spark = docs.sparkSession
     read = docs.select(
         F.coalesce(docs[lang_col].cast("string"), F.lit(UNKNOWN_LANG)).alias("lang"),
         docs[text_col].cast("string").alias("body"),
     )
-    schema = "shard int, lang string, words array<long>, spelled array<string>"
+    schema = "lang string, words array<long>, spelled array<string>"
     for seed in range(_NUMBERINGS):
         path = scratch_path(spark, "encoded")
         # numbers repeat: a large dictionary of a column chunk keeps them small
-        made = read.mapInArrow(_encoder(seed, shards, bits), schema)
-        made.write.partitionBy("shard").option("parquet.dictionary.page.size", 8 << 20).parquet(path)
+        made = read.mapInArrow(_encoder(seed, bits), schema)
+        made.write.option("parquet.dictionary.page.size", 4 << 20).parquet(path)
         stored = spark.read.schema(schema).parquet(path)
-        pairs = stored.filter(F.col("shard") == _SPELLING).select(
+        pairs = stored.filter(F.col("lang").isNull()).select(
             F.explode(F.arrays_zip("words", "spelled")).alias("pair")
         )
-        spelling = cut_lineage(
-            pairs.groupBy(F.col("pair.words").alias("number")).agg(
-                F.min("pair.spelled").alias("word"), F.max("pair.spelled").alias("last")
-            )
-        )
-        if spelling.filter("word <> last").isEmpty():
-            return stored.filter(F.col("shard") >= 0), spelling.select("number", "word")
+        distinct = pairs.select(F.col("pair.words").alias("number"), F.col("pair.spelled").alias("word"))
+        spelling = cut_lineage(distinct.dropDuplicates())
+        if spelling.groupBy("number").count().filter("count > 1").isEmpty():
+            files = sorted(stored.inputFiles())
+            dealt = [files[shard::shards] for shard in range(shards)]
+            read_files = lambda names: spark.read.schema(schema).parquet(*names) if names else stored.limit(0)
+            return [read_files(names).filter(F.col("lang").isNotNull()) for names in dealt], spelling
     raise RuntimeError("no way to number words kept them apart")
 
 
@@ -310,7 +308,7 @@ def _scan(spark, shard: DataFrame, step: int, shards: int, reached, recent, long
 
 
 def _whole_cycle(counted: DataFrame, reached: DataFrame, step: int, shards: int, longest: int) -> DataFrame:
-    """Of a scan's sums those of active phrases: both parts reached the threshold before this scan,
+    """Of a scan's sums of phrases those of active ones: both parts reached the threshold before this scan,
     and the cycle that began then isn't over."""
     words = _word_columns(longest)
     parts = reached.select("lang", *words[:-1], "step")
@@ -326,7 +324,7 @@ def _whole_cycle(counted: DataFrame, reached: DataFrame, step: int, shards: int,
         .join(after, [F.col("lang") == F.col("_lang2"), *[F.col(words[j + 1]) == F.col(f"_s{j}") for j in range(longest - 1)]])
         .filter((begins <= step) & (begins + shards > step))
     )
-    return counted.filter("k = 1").unionByName(kept.select(counted.columns))
+    return kept.select(counted.columns)
 
 
 def count_phrases(
@@ -347,7 +345,8 @@ def count_phrases(
     words = _word_columns(longest)
     numbers = ", ".join(f"{word} long" for word in words)
     stored, spelling = _encoded(docs, text_col, lang_col, shards)
-    sums = _Steps(spark, "phrase-sums", f"lang string, k int, {numbers}, n long")
+    scans = _Steps(spark, "scans", f"lang string, k int, {numbers}, n long")
+    phrases = _Steps(spark, "phrase-sums", f"lang string, k int, {numbers}, n long")
     reached = _Steps(spark, "phrases-reached", f"lang string, {numbers}")
     new: list[int] = []
     while len(new) < shards or any(new[-shards:]):
@@ -358,17 +357,16 @@ def count_phrases(
             late = bound
             if step > shards:  # parts that reached the threshold earlier begin no open cycle
                 late = _filter_of(reached.since(step - shards), sum(new[-shards:]), longest)
-        shard = stored.filter(F.col("shard") == step % shards)
-        counted = _scan(spark, shard, step, shards, bound, late, longest)
-        if bound is not None:
-            counted = _whole_cycle(cut_lineage(counted), reached.since(0), step, shards, longest)
-        sums.add(counted)
-        # a phrase's whole cycle lies in the last scans, or its fate is known already
-        lately = sums.since(step + 1 - shards).filter(F.col("k") < longest)
+        counted = scans.add(_scan(spark, stored[step % shards], step, shards, bound, late, longest))
+        phrases.add(_whole_cycle(counted, reached.since(0), step, shards, longest))
+        # the whole cycle of what is still counted lies in the last scans
+        lately = phrases.since(step + 1 - shards).filter(F.col("k") < longest)
+        if step < shards:
+            lately = lately.unionByName(scans.since(0).filter("k = 1"))
         enough = lately.groupBy("lang", *words).agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
         fresh = enough.join(reached.since(0), ["lang", *words], "left_anti") if any(new) else enough
-        new.append(reached.add(fresh.select("lang", *words)))
-    every = sums.since(0)
+        new.append(reached.add(fresh.select("lang", *words)).count())
+    every = scans.since(0).filter("k = 1").unionByName(phrases.since(0))
     totals = every.filter("k = 1").groupBy("lang").agg(F.sum("n").alias("total"))
     frequent = every.groupBy("lang", "k", *words).agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
     return cut_lineage(frequent), cut_lineage(totals), spelling
@@ -382,14 +380,16 @@ class _Steps:
         self.path = scratch_path(spark, name)
         self.steps = 0
 
-    def add(self, rows: DataFrame) -> int:
-        """Store the rows of the next scan; how many there are."""
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Store the rows of the next scan and give them back."""
         path = f"{self.path}/step={self.steps}"
         rows.write.parquet(path)
         self.steps += 1
-        return self.spark.read.schema(self.schema).parquet(path).count()
+        return self.spark.read.schema(self.schema).parquet(path)
 
     def since(self, step: int) -> DataFrame:
+        if not self.steps:
+            return self.spark.createDataFrame([], f"{self.schema}, step int")
         stored = self.spark.read.schema(f"{self.schema}, step int").parquet(self.path)
         return stored.filter(F.col("step") >= step)
 
