@@ -121,3 +121,51 @@ def test_hybrid_blends_and_leaves_out_heard_songs(spark):
     heard = spark.createDataFrame([("c",)], "song_id string")
     left_over = hybrid.hybrid(left, right, alpha=0.5, k=2, heard=heard)
     assert [r.candidate for r in left_over.orderBy("rank").collect()] == ["b", "d"]
+
+
+def brute_blend(pairs, catalog, alpha, k, heard=()):
+    """The k best blends of every song, every pair scored."""
+    fans = defaultdict(set)
+    for user, song in pairs:
+        fans[song].add(user)
+    profile = {song: (release, artist, year or 0) for song, release, artist, year in catalog if artist is not None}
+    out = []
+    names = sorted(fans.keys() | profile.keys())
+    for a in names:
+        found = []
+        for b in names:
+            if a == b or b in heard:
+                continue
+            common = len(fans[a] & fans[b])
+            collaborative = common / math.sqrt(len(fans[a]) * len(fans[b])) if common else 0.0
+            content = 0.0
+            if a in profile and b in profile and profile[a][1] == profile[b][1]:
+                apart = abs(profile[a][2] - profile[b][2])
+                same = profile[a][0] is not None and profile[a][0] == profile[b][0]
+                content = (0.7 if same else 0.0) + max(0.0, 1 - apart / 50) * 0.3
+            score = collaborative * alpha + content * (1 - alpha)
+            if score > 0:
+                found.append((-score, b))
+        out += [(a, b, round(-score, 9), rank) for rank, (score, b) in enumerate(sorted(found)[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(
+    ("wide", "wide_users", "alpha", "years", "left_out"),
+    [(1000, 2, 0.5, 30, 0), (10, 3, 0.5, 200, 0), (10, 3, 0.9, 10, 12), (1000, 1, 1.0, 30, 0)],
+)
+def test_hybrid_is_the_best_blend_of_all_pairs(spark, wide, wide_users, alpha, years, left_out):
+    """Songs that neither list shows among its first may still blend best; rounds go on until they can't."""
+    pairs = hot_interactions(wide + wide_users, songs=90, wide_users=wide_users)
+    draw = random.Random(wide_users)
+    catalog = [
+        (f"s{n:03d}", draw.choice(["r1", "r2", None]), draw.choice(["a", "a", "a", "b", None]), draw.choice([None, *range(years)]))
+        for n in range(5, 100)
+    ]
+    data = spark.createDataFrame(pairs, "user_id string, song_id string")
+    songs = spark.createDataFrame(catalog, "song_id string, release string, artist_name string, year int")
+    heard = [f"s{n:03d}" for n in range(left_out)]
+    known = spark.createDataFrame([(x,) for x in heard], "song_id string") if left_out else None
+    best = hybrid.hybrid_similarity(data, songs, alpha, 3, heard=known, wide=wide)
+    got = sorted((r.song_id, r.candidate, round(r.score, 9), r["rank"]) for r in best.collect())
+    assert got == brute_blend(pairs, catalog, alpha, 3, set(heard))
