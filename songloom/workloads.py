@@ -544,28 +544,55 @@ def hash_split(spark, sf):
     return train.withColumn("part", F.lit("train")).union(test.withColumn("part", F.lit("test")))
 
 
-@query(f"WITH {TRIPLETS_SQL} SELECT * FROM triplets")
-def train_test_split(spark, sf):
-    """Both parts together again: every interaction is in exactly one of them."""
-    train, test = splitting.split(triplets(spark, sf), 0.8, SEED)
-    return train.union(test)
+def digits_sql(*parts: object) -> str:
+    """The first 15 hexadecimal digits of an MD5 of the parts, as a number."""
+    return f"CAST('0x' || substr(md5(concat_ws('/', {', '.join(map(str, parts))})), 1, 15) AS BIGINT)"
+
+
+NUMBERED_SQL = f"""{TRIPLETS_SQL}, numbered AS (
+  SELECT *, row_number() OVER (ORDER BY user_id, song_id, listen_count) - 1 AS row FROM triplets)"""
 
 
 @query(
-    f"""WITH {TRIPLETS_SQL}
-    SELECT user_id, song_id, listen_count, {HASH_SQL.format('')}
-           % (SELECT CAST(ceil(count(*) / 1000) AS BIGINT) FROM triplets) AS batch FROM triplets"""
+    f"""WITH {NUMBERED_SQL}
+    SELECT user_id, song_id, listen_count,
+           CASE WHEN {digits_sql(SEED, 'row')} / CAST(1152921504606846976 AS DOUBLE) < 0.8::DOUBLE
+                THEN 'train' ELSE 'test' END AS part FROM numbered"""
 )
+def train_test_split(spark, sf):
+    """Every interaction with its part of the split."""
+    train, test = splitting.split(triplets(spark, sf), 0.8, SEED, ["user_id", "song_id"])
+    return train.withColumn("part", F.lit("train")).union(test.withColumn("part", F.lit("test")))
+
+
+@query(f"WITH {NUMBERED_SQL} SELECT user_id, song_id, listen_count, row // 1000 AS batch FROM numbered")
 def page_batches(spark, sf):
     return splitting.batches(triplets(spark, sf), 1000, ["user_id", "song_id"])
 
 
+def network_sql(source: str, key: str) -> str:
+    """One pass of ``source(row, cell)`` through the Feistel network of a key."""
+    sql = f"SELECT row, wide, high, cell // high AS x, cell % high AS y FROM {source}, sized"
+    for turn in range(6):
+        x, y = (f"(x + {digits_sql(key, turn, 'y')}) % wide", "y") if turn % 2 == 0 else ("x", f"(y + {digits_sql(key, turn, 'x')}) % high")
+        sql = f"SELECT row, wide, high, {x} AS x, {y} AS y FROM ({sql})"
+    return f"SELECT row, x * high + y AS cell FROM ({sql})"
+
+
 @query(
-    f"""WITH {TRIPLETS_SQL}
-    SELECT user_id, song_id, listen_count, {HASH_SQL.format('epoch 3')}
-           % (SELECT CAST(ceil(count(*) / 32) AS BIGINT) FROM triplets) AS batch FROM triplets"""
+    f"""WITH RECURSIVE {NUMBERED_SQL},
+    counted AS (SELECT count(*) AS n FROM numbered),
+    sized AS (SELECT wide, (n + wide - 1) // wide AS high
+              FROM (SELECT n, CAST(floor(sqrt(n - 1)) AS BIGINT) + 1 AS wide FROM counted)),
+    walk AS (
+      {network_sql('(SELECT row, row AS cell FROM numbered)', "'0/3'")}
+      UNION ALL
+      {network_sql('(SELECT row, cell FROM walk WHERE cell >= (SELECT n FROM counted))', "'0/3'")})
+    SELECT user_id, song_id, listen_count, cell // 32 AS batch
+    FROM numbered JOIN walk USING (row) WHERE cell < (SELECT n FROM counted)"""
 )
 def epoch_shuffle(spark, sf):
+    """The mini-batch of every interaction in the fourth epoch: 32 rows each, but the last."""
     return splitting.epoch_shuffle(triplets(spark, sf), 32, ["user_id", "song_id"], epoch=3)
 
 
@@ -591,8 +618,8 @@ def rmse(spark, sf):
 
 @query(
     f"""{PREDICTED_SQL}, paged AS (
-      SELECT *, {HASH_SQL.format('')}
-             % (SELECT CAST(ceil(count(*) / 1000) AS BIGINT) FROM predicted) AS batch FROM predicted)
+      SELECT *, (row_number() OVER (ORDER BY user_id, song_id, listen_count) - 1) // 1000 AS batch
+      FROM predicted)
     SELECT batch, round(avg(power(listen_count - prediction, 2)), 6) AS mse
     FROM paged GROUP BY batch"""
 )
@@ -738,12 +765,24 @@ def als_default(spark, sf):
     return found.select("user_index", "songs", (F.col("residual") < 1e-5).alias("solved"))
 
 
+@query(f"{USER_SIZES_SQL} SELECT user_index, songs, true AS nonnegative, true AS solved FROM user_sizes")
+def als_nonneg(spark, sf):
+    """Every user of the non-negative model, and whether their factors are the best without a negative one."""
+    ready = fitted(spark, sf, "nonnegative", als.NONNEGATIVE)
+    pairs = cleaning.fold_pairs(heard(spark, sf))
+    indexed = indexing.index_interactions(pairs, ready.users, ready.songs)
+    found = als.user_optimality(ready.model, indexed, als.NONNEGATIVE.reg)
+    return found.select(
+        "user_index", "songs", (F.col("lowest") >= 0).alias("nonnegative"), (F.col("residual") < 1e-5).alias("solved")
+    )
+
+
 @query(
     f"""WITH {TRIPLETS_SQL}
     SELECT 'user' AS side, count(DISTINCT user_id) AS nonnegative FROM triplets
     UNION ALL SELECT 'song', count(DISTINCT song_id) FROM triplets"""
 )
-def als_nonneg(spark, sf):
+def als_nonneg_signs(spark, sf):
     """How many users and songs have no negative factor: all of them."""
     model = fitted(spark, sf, "nonnegative", als.NONNEGATIVE).model
     sides = [
@@ -837,7 +876,7 @@ def sink_model(spark, sf):
 
 
 @query()
-def training_report(spark, sf):
+def training_report_als(spark, sf):
     rows = cut_lineage(indexed_triplets(spark, sf))
     return als.report(als.train_and_evaluate(rows, SEED))
 
@@ -937,6 +976,28 @@ def topn_all_users(spark, sf):
     return pruned.top_scores_pruned(users, songs_, 10, digits=6, first_tier=512)
 
 
+IN_TRAINING_SQL = (
+    "CAST('0x' || substr(md5(concat_ws('|', user_index, song_index, '')), 1, 15) AS BIGINT) % 100 < 80"
+)
+
+
+@query(
+    f"""{adam_sql(DIM, STEP, EPOCHS, IN_TRAINING_SQL)},
+    vectors AS MATERIALIZED (
+      SELECT kind, id, list(w ORDER BY i) AS features FROM trained GROUP BY kind, id),
+    errors AS (
+      SELECT list_dot_product(u.features, s.features) - 1 AS miss FROM all_data d
+      JOIN vectors u ON u.kind = 'user' AND u.id = d.user_index
+      JOIN vectors s ON s.kind = 'song' AND s.id = d.song_index WHERE NOT {IN_TRAINING_SQL})
+    SELECT round(sqrt(avg(miss * miss)), 6) AS rmse, count(*) AS pairs FROM errors"""
+)
+def training_report(spark, sf):
+    """Error of embeddings trained on four fifths of the interactions, on the rest."""
+    rows = cut_lineage(cleaning.with_weight(indexed_triplets(spark, sf)))
+    _, report = embedding.train_and_evaluate(rows, SEED, dim=DIM, step=STEP, epochs=EPOCHS)
+    return report.select(F.round("rmse", 6).alias("rmse"), "pairs")
+
+
 @query(f"{adam_sql(DIM, STEP, EPOCHS)} SELECT kind, id, i, round(w, 6) AS weight FROM trained")
 def fm_train(spark, sf):
     """Embeddings of users and songs, read back from where the training wrote them."""

@@ -170,3 +170,20 @@ def test_similar_items_with_ties(spark):
     seeds = spark.createDataFrame([(5,)], "id int")
     found = similar_items(same, seeds, 3).orderBy("rank").collect()
     assert [(row.item, row.rank) for row in found] == [(0, 1), (1, 2), (2, 3)]
+
+
+def test_optimality_tells_other_factors_from_the_best(spark):
+    """One user, one factor: the best is (sum of r v) / (sum of v v + reg n), or 0 where that is negative."""
+    from types import SimpleNamespace
+
+    users = [(0, [2.2 / (1.25 + 0.2)]), (1, [0.0]), (2, [0.5]), (3, [-0.5])]
+    ratings = {0: (2.0, 0.4), 1: (-3.0, 0.0), 2: (2.0, 0.4), 3: (-3.0, 0.0)}
+    model = SimpleNamespace(
+        rank=1,
+        userFactors=spark.createDataFrame(users, "id int, features array<double>"),
+        itemFactors=spark.createDataFrame([(0, [1.0]), (1, [0.5])], "id int, features array<double>"),
+    )
+    pairs = spark.createDataFrame([(u, s, x) for u, r in ratings.items() for s, x in enumerate(r)], "user_index int, song_index int, listen_count double")
+    found = {row.user_index: row for row in als.user_optimality(model, pairs, 0.1).collect()}
+    assert found[0].residual < 1e-9 and found[1].residual == 0
+    assert found[2].residual > 0.1 and found[3].residual > 0.1 and found[3].lowest < 0
