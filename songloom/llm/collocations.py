@@ -26,7 +26,7 @@ from songloom.llm.common import table
 from songloom.storage import cut_lineage, scratch_path
 
 MIN_COUNT, LONGEST, TOP = 30, 4, 2000
-SHARDS = 4
+SHARDS = 3
 UNKNOWN_LANG = "und"
 #: A phrase that a longer one holds goes if the longer one has this share of its occurrences.
 CONTAINED_PERCENT = 80
@@ -36,7 +36,7 @@ MAX_SLOTS = 1 << 20
 _BITS_PER_PHRASE = 16
 _BITS = 64  # of a word's number
 _BREAK = 0  # stands between pieces and documents; no word has this number
-_CHUNK_BYTES, _CHUNK_WORDS = 2 << 20, 1 << 20
+_CHUNK_BYTES, _CHUNK_WORDS = 1 << 20, 1 << 18
 _SEEN = 200_000  # words whose spelling a task remembers to have emitted
 _PIECE_END = r"[.,;:!?\n\x0b\x0c\r]"
 
@@ -128,6 +128,7 @@ def _encoder(seed: int, bits: int):
                         ],
                         schema=_ENCODED,
                     )
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -300,6 +301,7 @@ def _scan(spark, shard: DataFrame, step: int, shards: int, reached, recent, long
                 v[inside] = flat[offsets[at] : offsets[end]]
                 yield from chunk(langs, np.repeat(lang[at:end], sizes + 1), v)
                 at = end
+            pa.default_memory_pool().release_unused()
 
     output = ["lang", "k", *_word_columns(longest), "n"]
     schema = f"lang string, k int, {', '.join(f'{w} long' for w in _word_columns(longest))}, n long"
