@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from songloom.functions.tokens import words
@@ -47,24 +47,36 @@ def detect_language(docs: DataFrame, stopwords: DataFrame) -> DataFrame:
 def normalise_text(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Replace words found in ``dictionary(token, expansion)``, leaving all else as it is.
 
-    Every row is taken apart, its pieces meet the dictionary, and the row is put together again
-    under a number of its own, so repeated ids stay apart. A null text stays null; entries without
-    a token are ignored.
+    Texts are cut into pieces once. Only pieces that the dictionary knows become rows that are kept, as
+    (row, place, expansion); each row's patches are gathered and put in place between the pieces that
+    stay. Rows have a number of their own, so repeated ids stay apart. A null text stays null; entries
+    without a token are ignored.
     """
     named = dictionary.select("token", "expansion").filter(F.col("token").isNotNull())
     known = broadcast_if_small(cut_lineage(dedupe_by_key(named, ["token"])), SMALL_TABLE)
-    pieces = F.regexp_extract_all("text", F.lit(PIECES), F.lit(0))
-    rows = docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()).select(
-        "_row", "doc_id", F.isnull("text").alias("_no_text"), F.posexplode_outer(pieces).alias("pos", "piece")
-    )
-    swapped = rows.join(known, F.lower("piece") == F.col("token"), "left").select(
-        "_row", "doc_id", "_no_text", "pos", F.coalesce("expansion", "piece").alias("word")
-    )
-    joined = swapped.groupBy("_row", "doc_id", "_no_text").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("rows"),
-    )
-    text = F.when(~F.col("_no_text"), F.array_join("rows.word", ""))
-    return joined.select("doc_id", text.alias("text"))
+    cut = F.regexp_extract_all("text", F.lit(PIECES), F.lit(0))
+    # stored, so that a row's number and pieces are the same for both readers
+    rows = cut_lineage(docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", cut.alias("pieces")))
+    places = rows.select("_row", F.posexplode("pieces").alias("pos", "piece"))
+    hits = places.join(known, F.lower("piece") == F.col("token")).filter("expansion IS NOT NULL")
+    patches = hits.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("pos", "expansion"))).alias("patches"))
+    return rows.join(patches, "_row", "left").select("doc_id", _patched().alias("text"))
+
+
+def _patched() -> Column:
+    """``pieces`` as one text, with each of ``patches`` in place of the piece at its position."""
+    pieces, patches = F.col("pieces"), F.col("patches")
+
+    def stretch(patch: Column, number: Column) -> Column:
+        """The pieces after the patch before, and the patch."""
+        first = F.when(number > 0, F.get(patches, number - 1)["pos"] + 1).otherwise(0)
+        kept = F.slice(pieces, first + 1, patch["pos"] - first)
+        return F.concat(F.array_join(kept, ""), patch["expansion"])
+
+    rest = F.get(patches, F.size(patches) - 1)["pos"] + 1
+    end = F.array_join(F.slice(pieces, rest + 1, F.size(pieces) - rest), "")
+    mended = F.concat(F.array_join(F.transform(patches, stretch), ""), end)
+    return F.when(patches.isNull(), F.array_join(pieces, "")).otherwise(mended)
 
 
 def lexicon_sentiment(docs: DataFrame, lexicon: DataFrame) -> DataFrame:

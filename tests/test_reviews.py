@@ -50,3 +50,20 @@ def test_spam_flags(spark):
     assert got[3].repeated_lines and not got[3].duplicate
     assert all(got[i].duplicate for i in range(4, 44)) and len(got) == 45
     assert got[44].spam and not got[44].duplicate
+
+
+def test_patches_equal_a_plain_replacement(spark):
+    """Neighbouring, first, last and repeated hits, in short and long texts."""
+    import random
+    import re
+
+    words = {"u": "you", "b4": "before", ":)": "smile", "a": "", "straße": "road"}
+    draw = random.Random(4)
+    parts = [*words, "x", "yy", " ", " ", "\n", ".", "U", "STRASSE", "Straße", "é1"]
+    texts = ["".join(draw.choices(parts, k=draw.choice([0, 1, 2, 3, 9, 40]))) for _ in range(300)]
+    texts += ["u " * 5_000, "x" * 10_000, "u" + " x" * 5_000 + " u"]
+    swap = lambda piece: words.get(piece[0].lower(), piece[0])
+    wanted = [re.sub(r"[^\W_]+|[\W_]+", swap, text) for text in texts]
+    dictionary = spark.createDataFrame(list(words.items()), "token string, expansion string")
+    got = {row.doc_id: row.text for row in reviews.normalise_text(docs(spark, *texts).repartition(5), dictionary).collect()}
+    assert [got[n] for n in range(len(texts))] == wanted
