@@ -6,27 +6,29 @@ import math
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, Normalizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from songloom.llm.common import WORD, table, words_column
-from songloom.storage import cut_lineage
+from songloom.storage import cut_lineage, scratch_path
 
 #: Most documents the scorer is trained on, the same at every size; the labellers see all.
 MAX_TRAINING = 20_000
 HASHED_FEATURES = 1 << 12
 THRESHOLD = 0.5
 SYMBOLS = "#*$%&|<>{}=~^_"
-ABSTAIN, BAD, GOOD = "a", "b", "g"
-_ROUNDS = 100
-BETTER = 20.0
+ABSTAIN, BAD, GOOD = OUTCOMES = "a", "b", "g"
+_ROUNDS, _SMOOTHING = 200, 0.1
 #: When each labeller calls a document bad or good; otherwise it abstains.
 LABELLERS = {
     "symbols": ("5 * n_symbols > n_words", "50 * n_symbols < n_words"),
     "capitals": ("2 * n_capitals > n_letters", "5 * n_capitals < n_letters"),
     "stutter": ("5 * n_stutter > n_words", "50 * n_stutter <= n_words AND n_words > 1"),
-    "variety": ("10 * n_distinct < 3 * n_words AND n_words < 1000", "2 * n_distinct > n_words AND n_words > 1"),
+    # distinct words grow about as the root of a text's length
+    "variety": (
+        "10 * n_distinct < 3 * n_words AND n_distinct * n_distinct < 4 * n_words",
+        "n_words > 1 AND (2 * n_distinct > n_words OR n_distinct * n_distinct > 25 * n_words)",
+    ),
     "lines": ("10 * n_repeated_lines > 3 * n_lines", "n_repeated_lines = 0 AND n_lines > 1"),
     "length": ("n_words < 3", "n_words >= 50"),
     "word_length": ("word_chars < 2 * n_words OR word_chars > 12 * n_words", "word_chars BETWEEN 3 * n_words AND 9 * n_words"),
@@ -49,7 +51,7 @@ def measure(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataF
         F.coalesce(text, F.lit("")).alias("body"),
         *more,
     )
-    lines = F.filter(F.split("body", "\n"), lambda line: F.trim(line) != "")
+    lines = F.filter(F.split("body", "\n"), lambda line: line.rlike(WORD))
     cut = read.withColumn("words", words_column(F.col("body"))).withColumn("lines", lines)
     # one pass of an expression over the text is cheaper than a function of each word
     count = lambda pattern: F.regexp_count("body", F.lit(pattern)).cast("long")
@@ -75,29 +77,32 @@ def measure(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataF
     return measured.withColumn("votes", F.concat(*votes))
 
 
-def fit_accuracies(patterns: dict[str, int]) -> tuple[float, list[tuple[float, float]]]:
-    """Part of good documents, and each labeller's chances to call a bad and a good one bad.
+Chances = list[dict[str, tuple[float, float]]]
 
-    Expectation-maximisation on how often each pattern of votes occurs, beginning with the belief
-    that what any labeller calls bad is bad. Labellers are taken as independent given the truth,
-    and as better than chance: a vote of bad is ``BETTER`` times as likely on a bad document.
-    Patterns number at most 3 to the power of the labellers, whatever the corpus.
+
+def fit_accuracies(patterns: dict[str, int]) -> tuple[float, Chances]:
+    """Part of good documents, and for each labeller and outcome its chances on a bad and a good one.
+
+    Expectation-maximisation on how often each pattern of votes occurs. A labeller has three
+    outcomes, of which abstaining is one and says what it says; labellers are taken as
+    independent given the truth. Only the start tells the classes apart: the belief that whatever
+    any labeller calls bad is bad. Patterns number at most 3 to the power of the labellers,
+    whatever the corpus.
     """
     belief = {votes: 0.001 if BAD in votes else 0.999 for votes in patterns}
-    share, chances = 0.5, [(0.5, 0.5 / BETTER)] * len(LABELLERS)
+    share, chances = 0.5, [dict.fromkeys(OUTCOMES, (1 / 3, 1 / 3)) for _ in LABELLERS]
     for _ in range(_ROUNDS):
         n_bad = sum((1 - belief[v]) * c for v, c in patterns.items())
         n_good = sum(belief[v] * c for v, c in patterns.items())
         share = (n_good + 1) / (n_bad + n_good + 2)
         chances = []
         for k in range(len(LABELLERS)):
-            voted = {v: c for v, c in patterns.items() if v[k] == BAD}
-            bad = (sum((1 - belief[v]) * c for v, c in voted.items()) + 0.1) / (n_bad + 1)
-            good = (sum(belief[v] * c for v, c in voted.items()) + 0.001) / (n_good + 1)
-            if bad < BETTER * good:  # as many such votes in all
-                good = ((1 - share) * bad + share * good) / (share + BETTER * (1 - share))
-                bad = min(0.99, BETTER * good)
-            chances.append((bad, good))
+            seen = {outcome: [_SMOOTHING, _SMOOTHING] for outcome in OUTCOMES}
+            for votes, count in patterns.items():
+                seen[votes[k]][0] += (1 - belief[votes]) * count
+                seen[votes[k]][1] += belief[votes] * count
+            whole = [n + 3 * _SMOOTHING for n in (n_bad, n_good)]
+            chances.append({o: (bad / whole[0], good / whole[1]) for o, (bad, good) in seen.items()})
         fresh = {votes: posterior(votes, share, chances) for votes in patterns}
         moved = max((abs(fresh[v] - belief[v]) for v in patterns), default=0)
         belief = fresh
@@ -106,14 +111,12 @@ def fit_accuracies(patterns: dict[str, int]) -> tuple[float, list[tuple[float, f
     return share, chances
 
 
-def posterior(votes: str, share: float, chances: list[tuple[float, float]]) -> float:
-    """Probability that a document with these votes is good. Abstaining says nothing."""
+def posterior(votes: str, share: float, chances: Chances) -> float:
+    """Probability that a document with these votes is good."""
     odds = math.log(share / (1 - share))
-    for vote, (bad, good) in zip(votes, chances):
-        if vote == BAD:
-            odds += math.log(good / bad)
-        elif vote == GOOD:
-            odds += math.log((1 - good) / (1 - bad))
+    for vote, chance in zip(votes, chances):
+        bad, good = chance[vote]
+        odds += math.log(good / bad)
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
 
 
@@ -157,25 +160,43 @@ def classify(
     table gives no rows. Other columns are not read. Texts are never shuffled.
     """
     spark = docs.sparkSession
-    measured = cut_lineage(measure(docs, id_col, text_col).select("id", "text_key", "votes"))
-    counts = {row.votes: row["count"] for row in measured.groupBy("votes").count().collect()}
+    # texts are read here and nowhere else; the vectors are read as vectors for the fit and as arrays
+    # for the scores, whose expression needs none of the model's own functions
+    made = _features(docs, id_col, text_col)
+    path = scratch_path(spark, "votes-and-features")
+    made.write.parquet(path)
+    vectors = spark.read.schema(made.schema).parquet(path)
+    id_type = made.schema["id"].dataType.simpleString()
+    stored = spark.read.schema(f"id {id_type}, text_key long, votes string, features {_SPARSE}").parquet(path)
+    counts = {row.votes: row["count"] for row in stored.groupBy("votes").count().collect()}
     share, chances = fit_accuracies(counts)
     # at most 3 ** 9 rows
     known = [(votes, posterior(votes, share, chances)) for votes in counts]
-    believed = spark.createDataFrame(known, "_votes string, posterior double")
+    believed = F.broadcast(spark.createDataFrame(known, "_votes string, posterior double"))
     sample = (
-        measured.select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), F.col("votes").alias("_seen"))
-        .orderBy(F.xxhash64("_id", "_key"), "_id", "_key")
+        vectors.orderBy(F.xxhash64("id", "text_key"), "id", "text_key")
         .limit(max_training)
-        .dropDuplicates(["_id", "_key"])
-        .join(F.broadcast(believed), F.col("_seen") == F.col("_votes"))
-        .select("_id", "_key", "posterior")
+        .dropDuplicates(["id", "text_key"])
+        .join(believed, F.col("votes") == F.col("_votes"))
+        .select("posterior", "features")
     )
-    features = _features(docs, id_col, text_col)
-    match = (F.col("text_key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id"))
-    chosen = cut_lineage(
-        features.join(F.broadcast(sample), match).select("features", "posterior")  # bounded rows
+    if counts:
+        linear = _fit_scorer(cut_lineage(sample))
+    else:
+        linear = F.lit(0.0)
+    met = stored.withColumn("_linear", linear).join(believed, F.col("votes") == F.col("_votes"), "left")
+    score = 1 / (1 + F.exp(-F.col("_linear")))
+    return met.select(
+        F.col("id").alias(id_col), "votes", "posterior", score.alias("score"), (score >= threshold).alias("kept")
     )
+
+
+#: A stored sparse vector, read as plain columns.
+_SPARSE = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
+
+
+def _fit_scorer(sample: DataFrame) -> Column:
+    """Log odds of a document as an expression over its ``features``, from ``(posterior, features)``."""
     # each example is good with its posterior's weight and bad with the rest
     both = F.explode(
         F.array(
@@ -183,24 +204,11 @@ def classify(
             F.struct(F.lit(0.0).alias("label"), (1 - F.col("posterior")).alias("weight")),
         )
     )
-    training = chosen.select("features", both.alias("x")).select("features", "x.label", "x.weight")
-    if counts:
-        fitter = LogisticRegression(weightCol="weight", regParam=1e-4, maxIter=40)
-        scored = fitter.fit(training).transform(features)
-        good = F.get(vector_to_array("probability"), F.lit(1))
-    else:
-        scored, good = features, F.lit(0.5)
-    return (
-        scored.withColumn("score", good)
-        .join(F.broadcast(believed), F.col("votes") == F.col("_votes"), "left")
-        .select(
-            F.col("id").alias(id_col),
-            "votes",
-            "posterior",
-            "score",
-            (F.col("score") >= threshold).alias("kept"),
-        )
-    )
+    training = sample.select("features", both.alias("x")).select("features", "x.label", "x.weight")
+    model = LogisticRegression(weightCol="weight", regParam=1e-4, maxIter=40).fit(training)
+    weights = F.expr("array({})".format(", ".join(f"{w!r}D" for w in model.coefficients.toArray().tolist())))
+    products = F.zip_with("features.indices", "features.values", lambda i, x: x * F.get(weights, i))
+    return F.aggregate(products, F.lit(float(model.intercept)), lambda total, x: total + x)
 
 
 def op1_quality_classifier(spark, sf_dir: str) -> DataFrame:
