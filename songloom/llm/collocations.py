@@ -14,6 +14,7 @@ bounded size first, and sums what passes; a join with the parts then decides exa
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,7 @@ _BITS_PER_PHRASE = 16
 _BITS = 64  # of a word's number
 _BREAK = 0  # stands between pieces and documents; no word has this number
 _CHUNK_BYTES, _CHUNK_WORDS = 1 << 20, 1 << 18
+_BATCH_ROWS = 1_000
 _SEEN = 200_000  # words whose spelling a task remembers to have emitted
 _PIECE_END = r"[.,;:!?\n\x0b\x0c\r]"
 
@@ -133,6 +135,21 @@ def _encoder(seed: int, bits: int):
     return run
 
 
+@contextmanager
+def _small_batches(spark) -> Iterator[None]:
+    """While rows are long arrays or texts, fewer of them go to Python at a time.
+
+    The setting is read when a job begins, and put back as it was.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, _BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _encoded(
     docs: DataFrame, text_col: str, lang_col: str, shards: int, bits: int = _BITS
 ) -> tuple[list[DataFrame], DataFrame]:
@@ -150,7 +167,8 @@ def _encoded(
         path = scratch_path(spark, "encoded")
         # numbers repeat: a large dictionary of a column chunk keeps them small
         made = read.mapInArrow(_encoder(seed, bits), schema)
-        made.write.option("parquet.dictionary.page.size", 4 << 20).parquet(path)
+        with _small_batches(spark):
+            made.write.option("parquet.dictionary.page.size", 4 << 20).parquet(path)
         stored = spark.read.schema(schema).parquet(path)
         pairs = stored.filter(F.col("lang").isNull()).select(
             F.explode(F.arrays_zip("words", "spelled")).alias("pair")
@@ -359,7 +377,8 @@ def count_phrases(
             late = bound
             if step > shards:  # parts that reached the threshold earlier begin no open cycle
                 late = _filter_of(reached.since(step - shards), sum(new[-shards:]), longest)
-        counted = scans.add(_scan(spark, stored[step % shards], step, shards, bound, late, longest))
+        with _small_batches(spark):
+            counted = scans.add(_scan(spark, stored[step % shards], step, shards, bound, late, longest))
         phrases.add(_whole_cycle(counted, reached.since(0), step, shards, longest))
         # the whole cycle of what is still counted lies in the last scans
         lately = phrases.since(step + 1 - shards).filter(F.col("k") < longest)
