@@ -94,7 +94,7 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int):
     """Item lists of at most ``block_words`` words (or one item), one after the other."""
     block, size = [], 0
-    rows = benchmark.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
+    rows = benchmark.filter(F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("body")
     )
     for row in rows.toLocalIterator():
@@ -126,8 +126,8 @@ def find_benchmark(
     over the documents with a broadcast of that bounded size. There is no shuffle.
 
     A null or empty text has no words and no hits. Repeated documents give one row each, repeated
-    items count once, items with a null id or no words match nothing, an empty benchmark gives
-    documents without hits. Columns of ``docs`` not in ``keep`` are not read, and kept columns with
+    items count once, items without words match nothing, an empty benchmark gives documents without
+    hits. Words of an item with a null id are hit like others, but there is no id to list. Columns of ``docs`` not in ``keep`` are not read, and kept columns with
     the name of a result give way to it.
     """
     keep = [name for name in keep or [id_col] if name not in _FOUND]
@@ -164,7 +164,7 @@ def _scan(docs: DataFrame, keep: list[str], sent, window: int) -> DataFrame:
                         items |= found
                 out[0].append(len(words))
                 out[1].append([{"first": a, "last": b} for a, b in _merge(spans)])
-                out[2].append(sorted(items))
+                out[2].append(sorted(items - {None}))
             return list(out)
 
         return run
@@ -193,7 +193,11 @@ def _merged_column(spans):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that contain no ``WINDOW`` words of an item, with all their columns."""
+    """The rows of ``docs`` that contain no ``WINDOW`` words of an item, with all their columns.
+
+    Null and empty texts stay; repeated rows stay or go alike; an empty benchmark rejects nothing.
+    Columns of ``docs`` may have any name.
+    """
     plain, place = plain_names(docs)
     key = place[text_col]
     found = find_benchmark(plain, benchmark, key, key, keep=plain.columns)
@@ -219,7 +223,7 @@ WITH item_words AS (
   SELECT CAST(item_id AS VARCHAR) AS item,
          regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+  FROM benchmark WHERE text IS NOT NULL),
 patterns AS (
   SELECT DISTINCT item, least(10, len(w)) AS size,
          array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS gram

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from songloom.llm.common import WORD, table
+from songloom.llm.common import plain_names, WORD, table
 from songloom.operators.skew import counted_lookup
 from songloom.storage import cut_lineage
 
@@ -221,6 +221,13 @@ def dedup_lines(
     table gives no rows.
     """
     names = [name for name in docs.columns if name not in ("n_lines", "n_removed")]
+    plain, place = plain_names(docs.select(*names))
+    cleaned = _without_runs(plain, place[id_col], place[text_col], guarantee, gram)
+    return cleaned.toDF(*names, "n_lines", "n_removed")
+
+
+def _without_runs(docs: DataFrame, id_col: str, text_col: str, guarantee: int, gram: int) -> DataFrame:
+    names = docs.columns
     runs = repeated_runs(docs, id_col, text_col, guarantee, gram).select(
         F.col("id").alias("_id"), F.col("text_key").alias("_other_key"), F.col("runs").alias("_runs")
     )

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from songloom.llm.common import WORD, table
+from songloom.llm.common import plain_names, WORD, table
 from songloom.operators.skew import counted_lookup
 from songloom.storage import cut_lineage
 
@@ -301,23 +301,28 @@ def _lookup_source(stream: DataFrame, sources: DataFrame) -> DataFrame:
     return counted_lookup(left, counted, "_source", "_rows", spread=["row"])
 
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
+def mix_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options
+) -> DataFrame:
     """``docs`` mixed to the targets: each document as often as the mix takes it, to the nearest
-    whole time, with its own columns. Rows with equal id and text are one row taken together."""
-    mix = mix_sources(docs, **options)
+    whole time, with its own columns. Rows with equal id and text are one row taken together, with
+    the other columns of one of them. Columns may have any name."""
+    plain, place = plain_names(docs)
+    key, text = place[id_col], place[text_col]
+    mix = mix_sources(plain, key, text, place[source_col], **options)
     times = (
         mix.segments.groupBy("row")
         .agg(F.sum("n_words").alias("taken"))
-        .join(mix.rows.select("row", "doc_id", "text_key", "size"), "row")
-        .groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+        .join(mix.rows.select("row", key, "text_key", "size"), "row")
+        .groupBy(F.col(key).alias("_id"), F.col("text_key").alias("_key"))
         .agg(F.sum(F.round(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
     )
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.col("text").cast("string")))
-    once = keyed.dropDuplicates(["doc_id", "_text_key"])
-    match = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
+    keyed = plain.withColumn("_text_key", F.xxhash64(F.col(text).cast("string")))
+    once = keyed.dropDuplicates([key, "_text_key"])
+    match = F.col(key).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
     found = once.join(times.filter("_times > 0"), match)
     turn = F.explode(F.sequence(F.lit(1), F.col("_times")))
-    return found.withColumn("_turn", turn).select(*docs.columns)
+    return found.withColumn("_turn", turn).select(*plain.columns).toDF(*docs.columns)
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

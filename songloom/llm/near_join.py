@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from songloom.llm.common import map_texts, table
+from songloom.llm.common import map_texts, plain_names, table
 from songloom.operators.skew import counted_lookup
 from songloom.storage import cut_lineage
 
@@ -307,6 +307,21 @@ def near_groups(
     Repeated rows are copies. Null ids come out as null and never name a class unless all its
     ids are null. An empty table gives no rows. Other columns are not read.
     """
+    return _grouped(docs, id_col, text_col, threshold, size, trees, target, block).drop("class_key")
+
+
+def _grouped(
+    docs: DataFrame,
+    id_col: str,
+    text_col: str,
+    threshold: float = THRESHOLD,
+    size: int = SHINGLE_WORDS,
+    trees: int = TREES,
+    target: float = TARGET_RECALL,
+    block: int = BLOCK,
+) -> DataFrame:
+    """:func:`near_groups` with ``class_key``, which tells classes apart whatever ids they have; it is
+    null for texts without words."""
     depth = prefix_length(threshold, trees, LONGEST_PREFIX, target)
     keyed = docs.select(
         F.col(id_col).alias("id"),
@@ -346,13 +361,14 @@ def near_groups(
     # names of classes: only nodes with links are in ``roots``
     named = roots.join(nodes.select("node", "least_id"), "node")
     classes = named.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    linked = roots.join(classes, "root").select("node", "class_id").join(counts, "node", "left")
+    linked = roots.join(classes, "root").select("node", "root", "class_id").join(counts, "node", "left")
     described = cut_lineage(
         nodes.select("node", "digest", "least_id", "copies")
         .join(linked, "node", "left")
         .select(
             "digest",
-            F.coalesce("class_id", "least_id").alias("class_id"),
+            F.coalesce("root", "node").alias("class_key"),
+            F.when(F.col("root").isNull(), F.col("least_id")).otherwise(F.col("class_id")).alias("class_id"),
             F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
             F.col("copies").alias("n_copies"),
         )
@@ -363,6 +379,7 @@ def near_groups(
     return placed.select(
         F.col("id").alias(id_col),
         "text_key",
+        "class_key",
         F.when(none, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
         F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"),
@@ -426,23 +443,24 @@ def _verified(sets: DataFrame, kept: DataFrame, threshold: float, block: int) ->
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each class: that of the least id (of equal ids, least text hash).
+    """``docs`` with one row of each class: that of the least id (of equal ids, least text hash; null
+    ids last).
 
-    Rows of documents without words all stay; equal rows among them are kept once.
+    Classes are told apart by their links, not by ids, so texts that share an id, or have none, are
+    judged each by itself. Rows of documents without words all stay; rows with equal id and text
+    are kept once. Columns may have any name.
     """
-    groups = near_groups(docs, id_col, text_col)
-    blank = F.col("class_id").isNull()
-    stays = (
-        groups.filter(F.col(id_col).eqNullSafe(F.col("class_id")))
-        .groupBy(id_col, F.when(blank, F.col("text_key")).alias("apart"))
-        .agg(F.min("text_key").alias("_stays"))
-        .select(F.col(id_col).alias("_id"), "_stays")
-    )
-    names = docs.columns
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(text_col).cast("string")))
-    once = keyed.dropDuplicates([id_col, "_key"])
-    match = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_stays"))
-    return once.join(stays, match, "left_semi").select(*names)
+    plain, place = plain_names(docs)
+    key, text = place[id_col], place[text_col]
+    groups = _grouped(plain, key, text)
+    first = F.min(F.struct(F.isnull(key).alias("none"), F.col(key).alias("id"), "text_key")).alias("first")
+    worded = groups.filter("class_key IS NOT NULL").groupBy("class_key").agg(first).select("first.id", "first.text_key")
+    blank = groups.filter("class_key IS NULL").select(F.col(key).alias("id"), "text_key").distinct()
+    stays = worded.unionByName(blank)
+    keyed = plain.withColumn("_key", F.xxhash64(F.col(text).cast("string")))
+    once = keyed.dropDuplicates([key, "_key"])
+    match = F.col(key).eqNullSafe(F.col("id")) & (F.col("_key") == F.col("text_key"))
+    return once.join(stays, match, "left_semi").select(*plain.columns).toDF(*docs.columns)
 
 
 def op4_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
