@@ -8,7 +8,8 @@ is done when it has seen every shard once.
 
 Nobody lists the active phrases: a phrase that a scan meets is active if its two parts have
 reached the threshold, in scans that say when its own cycle began. A scan asks a Bloom filter of
-bounded size first, and sums what passes; a join with the parts then decides exactly.
+bounded size, and sums what passes. At the end a join with the parts of the frequent phrases tells
+which sums hold scans outside a phrase's cycle, and these are taken again.
 """
 
 from __future__ import annotations
@@ -327,24 +328,40 @@ def _scan(spark, shard: DataFrame, step: int, shards: int, reached, recent, long
     return counted.groupBy("lang", "k", *_word_columns(longest)).agg(F.sum("n").alias("n"))
 
 
-def _whole_cycle(counted: DataFrame, reached: DataFrame, step: int, shards: int, longest: int) -> DataFrame:
-    """Of a scan's sums of phrases those of active ones: both parts reached the threshold before this scan,
-    and the cycle that began then isn't over."""
+def _in_whole_cycles(scans: DataFrame, reached: DataFrame, shards: int, longest: int, min_count: int) -> DataFrame:
+    """``lang``, ``k``, words and ``n`` of the frequent phrases of all scans' sums.
+
+    A phrase's cycle begins after the scan in which the later of its parts reached the threshold. A filter
+    never misses an active phrase, but may let one in at other scans; such a phrase, which shows in
+    its first and last scan, is summed again over its own cycle.
+    """
     words = _word_columns(longest)
+    keys = ["lang", "k", *words]
+    summed = scans.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.min("step").alias("_first"), F.max("step").alias("_last")
+    ).filter(F.col("n") >= min_count)
+    summed = cut_lineage(summed)
     parts = reached.select("lang", *words[:-1], "step")
     before = parts.toDF("_lang1", *[f"_p{j}" for j in range(longest - 1)], "_reach1")
     after = parts.toDF("_lang2", *[f"_s{j}" for j in range(longest - 1)], "_reach2")
     first = [F.when(F.col("k") > j + 1, F.col(words[j])).otherwise(_BREAK) for j in range(longest - 1)]
-    begins = F.greatest("_reach1", "_reach2") + 1
-    # the filters let few wrong ones through, so the joins see little more than they keep
-    kept = (
-        counted.filter("k > 1")
+    located = cut_lineage(
+        summed.filter("k > 1")
         .withColumns({f"_f{j}": part for j, part in enumerate(first)})
         .join(before, [F.col("lang") == F.col("_lang1"), *[F.col(f"_f{j}") == F.col(f"_p{j}") for j in range(longest - 1)]])
         .join(after, [F.col("lang") == F.col("_lang2"), *[F.col(words[j + 1]) == F.col(f"_s{j}") for j in range(longest - 1)]])
-        .filter((begins <= step) & (begins + shards > step))
+        .select(*keys, "n", "_first", "_last", (F.greatest("_reach1", "_reach2") + 1).alias("_begins"))
+    )
+    within = (F.col("_first") >= F.col("_begins")) & (F.col("_last") < F.col("_begins") + shards)
+    exact = summed.filter("k = 1").select(*keys, "n").unionByName(located.filter(within).select(*keys, "n"))
+    doubtful = located.filter(~within).select(*keys, "_begins")
+    again = (
+        scans.join(doubtful, keys)
+        .filter((F.col("step") >= F.col("_begins")) & (F.col("step") < F.col("_begins") + shards))
+        .groupBy(*keys)
+        .agg(F.sum("n").alias("n"))
     )
-    return kept.select(counted.columns)
+    return exact.unionByName(again.filter(F.col("n") >= min_count))
 
 
 def count_phrases(
@@ -366,7 +383,6 @@ def count_phrases(
     numbers = ", ".join(f"{word} long" for word in words)
     stored, spelling = _encoded(docs, text_col, lang_col, shards)
     scans = _Steps(spark, "scans", f"lang string, k int, {numbers}, n long")
-    phrases = _Steps(spark, "phrase-sums", f"lang string, k int, {numbers}, n long")
     reached = _Steps(spark, "phrases-reached", f"lang string, {numbers}")
     new: list[int] = []
     while len(new) < shards or any(new[-shards:]):
@@ -378,18 +394,15 @@ def count_phrases(
             if step > shards:  # parts that reached the threshold earlier begin no open cycle
                 late = _filter_of(reached.since(step - shards), sum(new[-shards:]), longest)
         with _small_batches(spark):
-            counted = scans.add(_scan(spark, stored[step % shards], step, shards, bound, late, longest))
-        phrases.add(_whole_cycle(counted, reached.since(0), step, shards, longest))
-        # the whole cycle of what is still counted lies in the last scans
-        lately = phrases.since(step + 1 - shards).filter(F.col("k") < longest)
-        if step < shards:
-            lately = lately.unionByName(scans.since(0).filter("k = 1"))
+            scans.add(_scan(spark, stored[step % shards], step, shards, bound, late, longest))
+        # the whole cycle of what is still counted lies in the last scans; words are counted in the first
+        counted = (F.col("k") < longest) & ((F.col("k") > 1) | F.lit(step < shards))
+        lately = scans.since(step + 1 - shards).filter(counted)
         enough = lately.groupBy("lang", *words).agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
         fresh = enough.join(reached.since(0), ["lang", *words], "left_anti") if any(new) else enough
         new.append(reached.add(fresh.select("lang", *words)).count())
-    every = scans.since(0).filter("k = 1").unionByName(phrases.since(0))
-    totals = every.filter("k = 1").groupBy("lang").agg(F.sum("n").alias("total"))
-    frequent = every.groupBy("lang", "k", *words).agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
+    totals = scans.since(0).filter("k = 1").groupBy("lang").agg(F.sum("n").alias("total"))
+    frequent = _in_whole_cycles(scans.since(0), reached.since(0), shards, longest, min_count)
     return cut_lineage(frequent), cut_lineage(totals), spelling
 
 
