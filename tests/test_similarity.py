@@ -53,6 +53,29 @@ def test_cooccurrence_equals_brute_force(spark, wide, wide_users, k):
     assert got == brute_cooccurrence(pairs, k)
 
 
+@pytest.mark.parametrize("wide,wide_users,pairs", [(1000, 0, 50), (10, 9, 400), (4, 12, 1000)])
+def test_songs_dealt_out_to_many_groups_are_counted_whole(spark, wide, wide_users, pairs):
+    heard = hot_interactions(7, wide_users=wide_users)
+    data = spark.createDataFrame(heard, "user_id string, song_id string")
+    best = cooccurrence.item_cooccurrence(data, 4, wide=wide, pairs=pairs)
+    got = sorted((r.song_id, r.candidate, r.common, round(r.score, 9), r["rank"]) for r in best.collect())
+    assert got == brute_cooccurrence(heard, 4)
+
+
+def test_pairs_of_songs_are_not_shuffled(spark, monkeypatch):
+    """Nothing leaves a task but packed lists, and what may be among the best."""
+    heard = hot_interactions(3, wide_users=0)
+    songs = len({song for _, song in heard})
+    data = spark.createDataFrame(heard, "user_id string, song_id string")
+    monkeypatch.setattr(cooccurrence, "song_pairs", None)
+    stored, store = [], cooccurrence.cut_lineage
+    monkeypatch.setattr(cooccurrence, "cut_lineage", lambda df: stored.append(store(df)) or stored[-1])
+    assert cooccurrence.item_cooccurrence(data, 1).count() == songs
+    met = stored[-1]
+    assert met.columns == ["item", "other", "seen", "partial"]
+    assert met.count() < 3 * songs  # the best of each song, and ties
+
+
 def test_a_user_with_most_songs_does_not_spell_out_pairs(spark):
     """30,000 songs of one user would be 450 million pairs; the lists come from their sizes."""
     songs = 30_000
