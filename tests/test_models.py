@@ -187,3 +187,20 @@ def test_optimality_tells_other_factors_from_the_best(spark):
     found = {row.user_index: row for row in als.user_optimality(model, pairs, 0.1).collect()}
     assert found[0].residual < 1e-9 and found[1].residual == 0
     assert found[2].residual > 0.1 and found[3].residual > 0.1 and found[3].lowest < 0
+
+
+def test_blocks_of_als_grow_with_what_a_task_can_hold(spark, monkeypatch):
+    """More blocks than needed multiply the factors that every half-step sends."""
+    asked = []
+
+    class Fake:
+        def __init__(self, **settings):
+            asked.append((settings["numUserBlocks"], settings["numItemBlocks"]))
+
+        def fit(self, pairs):
+            return None
+
+    monkeypatch.setattr(als, "ALS", Fake)
+    for pairs in (1000, 36_000_000, 300_000_000):
+        als.fit_als(spark.range(pairs).selectExpr("id AS user_index", "id AS song_index", "1 AS listen_count"), seed=1)
+    assert asked == [(8, 8), (8, 8), (10, 10)]
