@@ -112,6 +112,11 @@ def profiles(catalog: DataFrame) -> DataFrame:
     return dedupe_by_key(rows.select("song_id", *details), ["song_id"])
 
 
+def profile_distance_score(same_release: Column, year: Column, other_year: Column) -> Column:
+    """Content score of two songs of one artist."""
+    return _score(same_release, F.abs(year.cast("long") - other_year.cast("long")))
+
+
 def profile_score(x: str, y: str) -> Column:
     """Content score of two profiles ``struct(release, artist_name, year)``; 0 for different artists."""
     score = _score(F.col(f"{x}.release") == F.col(f"{y}.release"), _years_apart(f"{x}.year", f"{y}.year"))

@@ -192,3 +192,31 @@ def test_hybrid_is_the_best_blend_of_all_pairs(spark, wide, wide_users, alpha, y
     best = hybrid.hybrid_similarity(data, songs, alpha, 3, heard=known, wide=wide)
     got = sorted((r.song_id, r.candidate, round(r.score, 9), r["rank"]) for r in best.collect())
     assert got == brute_blend(pairs, catalog, alpha, 3, set(heard))
+
+
+def test_hybrid_drops_pairs_of_an_artist_that_cannot_reach_the_lists(spark, monkeypatch):
+    """Ten songs of each release hold the best places; other songs of the artist need most of their users in common."""
+    draw = random.Random(5)
+    releases = {f"s{n:03d}": f"r{n % 6}" for n in range(60)}
+    pairs = sorted({(f"u{u}", f"s{draw.randrange(60):03d}") for u in range(80) for _ in range(12)})
+    data = spark.createDataFrame(pairs, "user_id string, song_id string")
+    catalog = spark.createDataFrame([(s, r, "a", 2000) for s, r in releases.items()], "song_id string, release string, artist_name string, year int")
+    stored, store = [], hybrid.cut_lineage
+    monkeypatch.setattr(hybrid, "cut_lineage", lambda df: stored.append(store(df)) or stored[-1])
+    got = hybrid.hybrid_similarity(data, catalog, 0.5, 3).collect()
+    within = next(df for df in stored if df.columns == ["song_id", "candidate", "narrow"])
+    met = {(a, b) for u, a in pairs for v, b in pairs if u == v and a != b}
+    assert len(met) > 2000 and within.count() < len(met) / 4
+    fans = defaultdict(set)
+    for user, song in pairs:
+        fans[song].add(user)
+
+    def blend(a, b):
+        common = len(fans[a] & fans[b]) / math.sqrt(len(fans[a]) * len(fans[b]))
+        return common * 0.5 + (1.0 if releases[a] == releases[b] else 0.3) * 0.5
+
+    expected = []
+    for a in releases:
+        best = sorted((-round(blend(a, b), 9), b) for b in releases if b != a)[:3]
+        expected += [(a, b, -score) for score, b in best]
+    assert sorted((r.song_id, r.candidate, round(r.score, 9)) for r in got) == sorted(expected)
