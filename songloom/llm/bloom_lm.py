@@ -24,7 +24,8 @@ HASHES = 4
 BITS_PER_LEVEL = 10
 #: A filter is never larger, so that it can be broadcast; beyond it errors become more frequent.
 MAX_BITS = 1 << 29
-_CHUNK_BITS = 1 << 20  # bits of the filter that one group of rows sets
+_PIECES = 512  # of a filter, each set by one group of rows; as many whatever its size
+_PLACES = 1 << 19  # positions that a task gathers before it deals them out to the pieces
 #: Words that hold more than this part of all tokens go to every task as a table: there are fewer
 #: of them than its inverse, 16 bytes each.
 FREQUENT = 1 / 2_000_000
@@ -112,7 +113,11 @@ class Filter:
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Highest level each key reaches, found by probing one level after the other."""
-        distinct, inverse = np.unique(keys, return_inverse=True)
+        places, distinct = pd.factorize(keys)
+        return self.distinct_levels(distinct)[places]
+
+    def distinct_levels(self, distinct: np.ndarray) -> np.ndarray:
+        """:meth:`levels` of keys that don't repeat."""
         found = np.zeros(len(distinct), np.int64)
         alive = np.arange(len(distinct))
         for level in STORED:
@@ -124,7 +129,7 @@ class Filter:
             if not len(alive):
                 break
             found[alive] = level
-        return found[inverse]
+        return found
 
     def word_levels(self, w: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Levels of words, and of the words before them."""
@@ -140,13 +145,15 @@ class Model:
     total: int  # tokens learned from
     vocabulary: int
 
-    def score(self, w: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def score(self, w: np.ndarray, counts: np.ndarray, places: np.ndarray, distinct: np.ndarray) -> np.ndarray:
         """log10 probability of each text: its word hashes and end, given the word before each.
+        ``w`` is ``distinct[places]``.
 
         P(w | v) = x * c(vw) / c(v) + (1 - x) * P(w), with P(w) = (c(w) + 1) / (N + V + 1) and x
         by the level of c(v). Rare bigrams are left out, so the sum over w is at most 1.
         """
-        own, level = self.unigrams.word_levels(w, counts)
+        own = self.unigrams.distinct_levels(distinct)[places]
+        level = _previous(own, counts, own[-1])  # the last token is an end
         single = (count_of(own) + 1) / (self.total + self.vocabulary + 1)
         stored = np.zeros(len(w), np.int64)
         often = (own >= _TWICE) & (level >= _TWICE)  # else the pair can't have been seen twice
@@ -200,7 +207,10 @@ def build_filter(counts: DataFrame, max_bits: int = MAX_BITS) -> Filter:
     n_levels = counts.agg(F.sum(F.least(levels, F.lit(len(STORED))))).first()[0] or 1
     n_bits = int(min(max_bits, max(1 << 16, BITS_PER_LEVEL * n_levels)))
 
+    size = max(1, -(-n_bits // (8 * _PIECES)))  # bytes of a piece
+
     def positions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n_held = [], 0
         for batch in batches:
             key = batch["key"].to_numpy(np.int64).view(np.uint64)
             reached = level_of(batch["c"].to_numpy(np.float64))
@@ -209,20 +219,28 @@ def build_filter(counts: DataFrame, max_bits: int = MAX_BITS) -> Filter:
                 if not on.any():
                     break
                 one, two = _hashes(key[on], level)
-                places = [_place(one, two, number, n_bits) for number in range(HASHES)]
-                at = np.unique(np.concatenate(places))
-                chunk = at // np.uint64(_CHUNK_BITS)
-                first = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))
-                places = (at % np.uint64(_CHUNK_BITS)).astype("<u4")
-                yield pd.DataFrame(
-                    {
-                        "chunk": chunk[first].astype(np.int64),
-                        "places": [x.tobytes() for x in np.split(places, first[1:])],
-                    }
-                )
+                held += [_place(one, two, number, n_bits).astype(np.uint32) for number in range(HASHES)]
+                n_held += HASHES * len(one)
+            if n_held > _PLACES:
+                yield by_piece(held)
+                held, n_held = [], 0
+        if held:
+            yield by_piece(held)
+
+    def by_piece(held: list[np.ndarray]) -> pd.DataFrame:
+        at = np.unique(np.concatenate(held))
+        chunk = at // np.uint32(8 * size)
+        first = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))
+        places = (at % np.uint32(8 * size)).astype("<u4")
+        return pd.DataFrame(
+            {
+                "chunk": chunk[first].astype(np.int64),
+                "places": [x.tobytes() for x in np.split(places, first[1:])],
+            }
+        )
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, plane = None, np.zeros(_CHUNK_BITS, np.uint8)
+        held, plane = None, np.zeros(8 * size, np.uint8)
 
         def packed():
             return pd.DataFrame({"chunk": [held], "bits": [np.packbits(plane, bitorder="little").tobytes()]})
@@ -232,7 +250,7 @@ def build_filter(counts: DataFrame, max_bits: int = MAX_BITS) -> Filter:
                 if chunk != held:
                     if held is not None:
                         yield packed()
-                    held, plane = chunk, np.zeros(_CHUNK_BITS, np.uint8)
+                    held, plane = chunk, np.zeros(8 * size, np.uint8)
                 plane[np.frombuffer(places, "<u4")] = 1
         if held is not None:
             yield packed()
@@ -241,7 +259,6 @@ def build_filter(counts: DataFrame, max_bits: int = MAX_BITS) -> Filter:
     grouped = found.repartition("chunk").sortWithinPartitions("chunk")
     chunks = cut_lineage(grouped.mapInPandas(pack, "chunk long, bits binary"))
     bits = np.zeros((n_bits + 7) // 8, np.uint8)
-    size = _CHUNK_BITS // 8
     for row in chunks.toLocalIterator():  # as many bits as the filter has
         part = np.frombuffer(row.bits, np.uint8)[: len(bits) - row.chunk * size]
         bits[row.chunk * size : row.chunk * size + len(part)] |= part
@@ -329,19 +346,20 @@ def score_corpus(
         def run(texts: list[str | None]) -> list:
             w, counts = _hashed(texts)
             owner = np.repeat(np.arange(len(texts)), counts)
-            signed = w.view(np.int64)
+            places, distinct = pd.factorize(w)
+            signed = distinct.view(np.int64)
             at = np.minimum(np.searchsorted(keys, signed), max(len(keys) - 1, 0))
-            hot = keys[at] == signed if len(keys) else np.zeros(len(w), bool)
-            terms = np.where(hot, np.log10(c[at] + 1.0) - base, 0.0) if len(keys) else np.zeros(len(w))
-            sums = np.bincount(owner, terms, len(texts))
+            frequent = keys[at] == signed if len(keys) else np.zeros(len(signed), bool)
+            terms = np.where(frequent, np.log10(c[at] + 1.0) - base, 0.0) if len(keys) else np.zeros(len(signed))
+            hot = frequent[places]
+            sums = np.bincount(owner, terms[places], len(texts))
             n_hot = np.bincount(owner, hot, len(texts)).astype(np.int64)
-            order = np.lexsort((signed[~hot], owner[~hot]))
-            o, x = owner[~hot][order], signed[~hot][order]
-            first = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (x[1:] != x[:-1])])) if len(x) else np.zeros(0, int)
-            n = np.diff(np.concatenate([first, [len(x)]])).astype(np.int64)
-            ends = np.searchsorted(o[first], np.arange(1, len(texts)))
-            lists = [np.split(x[first], ends), np.split(n, ends)]
-            return [counts, n_hot, sums, known.score(w, counts), *lists]
+            # a number for each text and rare word of it
+            both, n = np.unique(owner[~hot] * len(distinct) + places[~hot], return_counts=True)
+            o, x = both // len(distinct), signed[both % len(distinct)]
+            ends = np.searchsorted(o, np.arange(1, len(texts)))
+            lists = [np.split(x, ends), np.split(n.astype(np.int64), ends)]
+            return [counts, n_hot, sums, known.score(w, counts, places, distinct), *lists]
 
         return run
 

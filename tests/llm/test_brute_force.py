@@ -138,6 +138,19 @@ def test_base_score_is_exact_and_model_helps(spark):
     assert model > base
 
 
+def test_rows_that_fill_a_filter_follow_its_size_not_its_batches(spark, monkeypatch):
+    counts = spark.range(0, 400_000, 1, 2).selectExpr("id * 7919 AS key", "3L AS c")
+    sent, kind = [], type(counts)
+    deal = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda df, *keys: sent.append(df) or deal(df, *keys))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    try:
+        bloom_lm.build_filter(counts)
+        assert sent[0].count() < 10_000  # a batch, level and piece each had one before: more than 20,000
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_filter_never_forgets(spark):
     rows = [(n * 7919, 1 + n % 300) for n in range(5000)]
     kept = bloom_lm.build_filter(spark.createDataFrame(rows, "key long, c long"))
