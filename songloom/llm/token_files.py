@@ -16,9 +16,11 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyarrow import fs
@@ -34,6 +36,7 @@ END_ID = 2
 FRAME_IDS = 1 << 18
 #: Pieces of text whose ids a worker remembers.
 CACHED_PIECES = 600_000
+_SLICE_ROWS, _SLICE_BYTES = 4096, 1 << 23  # of texts that are encoded at once
 
 # Fixed values of the published seekable zstandard format.
 _SKIPPABLE, _SEEKABLE, _WITH_CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -150,7 +153,10 @@ class Encoder:
     finds these before it splits, and none of its pieces is remembered.
     """
 
-    _DOUBLE = re.compile(r"\s\s|[^\S \n]|\x00")
+    # two blanks or newlines, other white space (of Unicode, as in Python's patterns), or what marks cuts
+    _DOUBLE = (
+        r"[ \n][ \n]|[\x00\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    )
     _CUT = re.compile(r"(?<=\S)(?= [^\W\d_])")
 
     def __init__(self, path: str, end_id: int = END_ID, cached: int = CACHED_PIECES):
@@ -159,8 +165,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         added = [x for x in self.tokenizer.get_added_tokens_decoder().values() if x.content]
-        contents = sorted({x.content for x in added}, key=lambda x: (-len(x), x))
-        self.added = re.compile("|".join(map(re.escape, contents))) if contents else None
+        self.contents = sorted({x.content for x in added}, key=lambda x: (-len(x), x))
+        self.added = re.compile("|".join(map(re.escape, self.contents))) if self.contents else None
         # such tokens are looked for in changed text, so any text may hold them
         self.changing = self.tokenizer.normalizer is not None and any(x.normalized for x in added)
         self.end = struct.pack("<I", end_id)
@@ -169,28 +175,69 @@ class Encoder:
     def holds_added(self, text: str) -> bool:
         return self.changing or (self.added is not None and self.added.search(text) is not None)
 
-    def pieces(self, text: str) -> list[str]:
-        if self._DOUBLE.search(text):
-            return self._CUT.split(text)
-        return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
-
     def _encode(self, pieces: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return {x: np.array(e.ids, "<u4").tobytes() for x, e in zip(pieces, found)}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        whole = {n: text for n, text in enumerate(texts) if text and self.holds_added(text)}
-        encoded = self._encode_pieces([None if n in whole else text for n, text in enumerate(texts)])
-        if whole:
-            fresh = self._encode(list(set(whole.values())))
-            for n, text in whole.items():
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        flat = np.array(list(chain.from_iterable(found)), "<u4").tobytes()
+        ends = list(accumulate((4 * len(ids) for ids in found), initial=0))
+        return {x: flat[start:end] for x, start, end in zip(pieces, ends, ends[1:])}
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        if not len(texts):
+            return []
+        # a copy, because Arrow's functions on texts misread an array that begins inside its buffer
+        texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()), "")
+        whole = self._whole(texts)
+        odd = pc.match_substring_regex(texts, self._DOUBLE).to_numpy(zero_copy_only=False) & ~whole
+        plain = np.flatnonzero(~odd & ~whole)
+        encoded: list[bytes] = [b""] * len(texts)
+        if len(plain):
+            lists = self._cut(texts.take(pa.array(plain)))
+            self._join(lists.flatten(), pc.list_value_length(lists).to_numpy(), plain, encoded)
+        if odd.any():
+            cut = [self._CUT.split(text) for text in texts.filter(pa.array(odd)).to_pylist()]
+            flat = pa.array(list(chain.from_iterable(cut)), pa.large_string())
+            self._join(flat, np.array([len(x) for x in cut]), np.flatnonzero(odd), encoded)
+        if whole.any():
+            found = texts.filter(pa.array(whole)).to_pylist()
+            fresh = self._encode(list(set(found)))
+            for n, text in zip(np.flatnonzero(whole).tolist(), found):
                 encoded[n] = fresh[text] + self.end
         return encoded
 
-    def _encode_pieces(self, texts: list[str | None]) -> list[bytes]:
+    def _whole(self, texts: pa.Array) -> np.ndarray:
+        """Which texts may hold an added token."""
+        found = np.full(len(texts), self.changing)
+        for content in [] if self.changing else self.contents:
+            found |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        return found & (pc.binary_length(texts).to_numpy() > 0)
+
+    @staticmethod
+    def _cut(texts: pa.Array) -> pa.Array:
+        spaced = pc.replace_substring(texts, " ", "\x00 ")
+        return pc.split_pattern(pc.replace_substring(spaced, "\n", "\x00\n\x00"), "\x00")
+
+    def _join(self, pieces: pa.Array, counts: np.ndarray, places: np.ndarray, encoded: list[bytes]) -> None:
+        """Puts the ids of texts, each of which has ``counts`` pieces, into their ``places``."""
+        coded = pieces.dictionary_encode()
+        codes = coded.indices.to_numpy()
+        values = self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        # ids of the distinct pieces one after the other, gathered in the order of the texts
+        flat = np.frombuffer(b"".join(values), "<u4")
+        sizes = np.array([len(x) >> 2 for x in values], np.int64)
+        starts, each = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
+        ends = np.cumsum(each)
+        ids = flat[np.repeat(starts - (ends - each), each) + np.arange(int(each.sum()))]
+        stops = np.concatenate([[0], ends])[np.cumsum(counts)].tolist()
+        for n, start, stop in zip(places.tolist(), [0, *stops], stops):
+            encoded[n] = ids[start:stop].tobytes() + self.end
+
+    def _ids(self, distinct: list[str]) -> list[bytes]:
         known = self.known
-        cut = [self.pieces(text or "") for text in texts]
-        missing = {x for pieces in cut for x in pieces if x not in known}
+        missing = {x for x in distinct if x not in known}
+        if not missing:
+            return [known[x] for x in distinct]
         # a comma or full stop after a letter is a token boundary
         bare = {x: (x[:-1], x[-1]) for x in missing if x[-1:] in (",", ".") and x[-2:-1].isalpha()}
         needed = {y for x in bare.values() for y in x if y not in known} | (missing - bare.keys())
@@ -201,9 +248,8 @@ class Encoder:
             both = fresh | {x: at(word) + at(mark) for x, (word, mark) in bare.items()}
         if len(known) + len(both) <= self.cached:
             known.update(both)
-            return [b"".join(map(known.__getitem__, pieces)) + self.end for pieces in cut]
-        get = lambda x: both[x] if x in both else known[x]
-        return [b"".join(map(get, pieces)) + self.end for pieces in cut]
+            return [known[x] for x in distinct]
+        return [both[x] if x in both else known[x] for x in distinct]
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}  # one for each worker, across its tasks
@@ -215,6 +261,19 @@ def _encoder(path: str, end_id: int) -> Encoder:
     return _encoders[path, end_id]
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with a bounded number of rows and bytes of text, or one long text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
+    first, total = 0, 0
+    for at, size in enumerate(sizes.tolist()):
+        if at > first and (total + size > _SLICE_BYTES or at - first == _SLICE_ROWS):
+            yield batch.slice(first, at - first)
+            first, total = at, 0
+        total += size
+    if batch.num_rows > first:
+        yield batch.slice(first)
+
+
 @dataclass
 class TokenFiles:
     """The files of one encoded table; ``manifest`` has a row for each, in order."""
@@ -256,9 +315,8 @@ def write_tokens(
         with filesystem.open_output_stream(f"{folder}/{name}", compression=None) as stream:
             writer = FileWriter(stream, frame_ids)
             for batch in batches:
-                for first in range(0, batch.num_rows, 256):
-                    part_of = batch.slice(first, 256)
-                    encoded = encoder.encode(part_of.column(1).to_pylist())
+                for part_of in _slices(batch):
+                    encoded = encoder.encode(part_of.column(1))
                     for key, ids in zip(part_of.column(0).to_pylist(), encoded):
                         writer.add(key, ids)
                         n_ids += len(ids) // 4
