@@ -15,7 +15,6 @@ which sums hold scans outside a phrase's cycle, and these are taken again.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -24,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from songloom.llm.common import table
+from songloom.llm.common import small_batches, table
 from songloom.storage import cut_lineage, scratch_path
 
 MIN_COUNT, LONGEST, TOP = 30, 4, 2000
@@ -39,7 +38,6 @@ _BITS_PER_PHRASE = 16
 _BITS = 64  # of a word's number
 _BREAK = 0  # stands between pieces and documents; no word has this number
 _CHUNK_BYTES, _CHUNK_WORDS = 1 << 20, 1 << 18
-_BATCH_ROWS = 1_000
 _SEEN = 200_000  # words whose spelling a task remembers to have emitted
 _PIECE_END = r"[.,;:!?\n\x0b\x0c\r]"
 
@@ -136,21 +134,6 @@ def _encoder(seed: int, bits: int):
     return run
 
 
-@contextmanager
-def _small_batches(spark) -> Iterator[None]:
-    """While rows are long arrays or texts, fewer of them go to Python at a time.
-
-    The setting is read when a job begins, and put back as it was.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, _BATCH_ROWS)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def _encoded(
     docs: DataFrame, text_col: str, lang_col: str, shards: int, bits: int = _BITS
 ) -> tuple[list[DataFrame], DataFrame]:
@@ -168,7 +151,7 @@ def _encoded(
         path = scratch_path(spark, "encoded")
         # numbers repeat: a large dictionary of a column chunk keeps them small
         made = read.mapInArrow(_encoder(seed, bits), schema)
-        with _small_batches(spark):
+        with small_batches(spark):
             made.write.option("parquet.dictionary.page.size", 4 << 20).parquet(path)
         stored = spark.read.schema(schema).parquet(path)
         pairs = stored.filter(F.col("lang").isNull()).select(
@@ -393,7 +376,7 @@ def count_phrases(
             late = bound
             if step > shards:  # parts that reached the threshold earlier begin no open cycle
                 late = _filter_of(reached.since(step - shards), sum(new[-shards:]), longest)
-        with _small_batches(spark):
+        with small_batches(spark):
             scans.add(_scan(spark, stored[step % shards], step, shards, bound, late, longest))
         # the whole cycle of what is still counted lies in the last scans; words are counted in the first
         counted = (F.col("k") < longest) & ((F.col("k") > 1) | F.lit(step < shards))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,7 @@ GAP = r"[\x20\x09-\x0D]+"
 #: ASCII capitals to small letters; other scripts keep their case.
 LOWER = {code: code + 32 for code in range(ord("A"), ord("Z") + 1)}
 UPPER_ASCII = "".join(map(chr, LOWER))
+_BATCH_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +43,21 @@ def id_remainder(key: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While rows are long arrays or texts, fewer of them go to Python at a time.
+
+    The setting is read when a job begins, and put back as it was.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, _BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def plain_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` under positional column names, which clash with no operator's, and where each is."""
     names = [f"_column{n}" for n in range(len(docs.columns))]

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from songloom.llm.common import table
+from songloom.llm.common import small_batches, table
 from songloom.storage import cut_lineage, scratch_path
 
 END_ID = 2
@@ -36,7 +36,8 @@ END_ID = 2
 FRAME_IDS = 1 << 18
 #: Pieces of text whose ids a worker remembers.
 CACHED_PIECES = 600_000
-_SLICE_ROWS, _SLICE_BYTES = 4096, 1 << 23  # of texts that are encoded at once
+_SLICE_ROWS, _SLICE_BYTES = 1024, 1 << 21  # of texts that are encoded at once
+_GROUP_PIECES = 4096  # that the library encodes at once, as it needs far more memory than their ids
 
 # Fixed values of the published seekable zstandard format.
 _SKIPPABLE, _SEEKABLE, _WITH_CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -176,10 +177,14 @@ class Encoder:
         return self.changing or (self.added is not None and self.added.search(text) is not None)
 
     def _encode(self, pieces: list[str]) -> dict[str, bytes]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        flat = np.array(list(chain.from_iterable(found)), "<u4").tobytes()
-        ends = list(accumulate((4 * len(ids) for ids in found), initial=0))
-        return {x: flat[start:end] for x, start, end in zip(pieces, ends, ends[1:])}
+        encoded: dict[str, bytes] = {}
+        for first in range(0, len(pieces), _GROUP_PIECES):
+            group = pieces[first : first + _GROUP_PIECES]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(group, add_special_tokens=False)]
+            flat = np.array(list(chain.from_iterable(found)), "<u4").tobytes()
+            ends = list(accumulate((4 * len(ids) for ids in found), initial=0))
+            encoded.update((x, flat[start:end]) for x, start, end in zip(group, ends, ends[1:]))
+        return encoded
 
     def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         if not isinstance(texts, pa.Array):
@@ -320,6 +325,7 @@ def write_tokens(
                     for key, ids in zip(part_of.column(0).to_pylist(), encoded):
                         writer.add(key, ids)
                         n_ids += len(ids) // 4
+                pa.default_memory_pool().release_unused()
             writer.close()
         n_docs = len(writer.keys)
         if n_docs:
@@ -330,7 +336,8 @@ def write_tokens(
 
     ordered = spread.sortWithinPartitions("key", F.xxhash64("body"), "tie").select("key", "body")
     files = ordered.mapInArrow(write, "part long, file string, n_docs long, n_ids long")
-    return TokenFiles(path, cut_lineage(files))
+    with small_batches(docs.sparkSession):
+        return TokenFiles(path, cut_lineage(files))
 
 
 def read_tokens(files: TokenFiles, wanted: list[int | None] | None = None) -> DataFrame:
