@@ -29,6 +29,8 @@ _PLACES = 1 << 19  # positions that a task gathers before it deals them out to t
 #: Words that hold more than this part of all tokens go to every task as a table: there are fewer
 #: of them than its inverse, 16 bytes each.
 FREQUENT = 1 / 2_000_000
+_SCORED_ROWS = 1000  # texts that are scored together, whose repeated words and bigrams are looked up once
+_BIT = np.array([1 << bit for bit in range(8)], np.uint8)
 _BUFFER = 4_000_000  # hashes that a task sums before it emits them
 _LEVEL_BITS = np.uint64(0xFF)  # low bits of a bigram's key: the level of its first word
 _END = b"\n"  # no word contains it
@@ -119,13 +121,18 @@ class Filter:
     def distinct_levels(self, distinct: np.ndarray) -> np.ndarray:
         """:meth:`levels` of keys that don't repeat."""
         found = np.zeros(len(distinct), np.int64)
-        alive = np.arange(len(distinct))
+        keys, alive = distinct, np.arange(len(distinct))
         for level in STORED:
-            one, two = _hashes(distinct[alive], level)
+            one, two = _hashes(keys, level)
+            at = None  # of the keys that all probes have hit; None while these are all
             for number in range(HASHES):
                 place = _place(one, two, number, self.n_bits)
-                hit = (self.bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                alive, one, two = alive[hit], one[hit], two[hit]
+                byte = self.bits.take((place >> np.uint64(3)).view(np.int64))
+                hit = np.flatnonzero(byte & _BIT.take((place & np.uint64(7)).view(np.int64)))
+                if len(hit) < len(one):
+                    one, two, at = one.take(hit), two.take(hit), hit if at is None else at.take(hit)
+            if at is not None:
+                keys, alive = keys.take(at), alive.take(at)
             if not len(alive):
                 break
             found[alive] = level
@@ -371,7 +378,8 @@ def score_corpus(
         "rare": ("array<long>", pa.list_(pa.int64())),
         "n_rare": ("array<long>", pa.list_(pa.int64())),
     }
-    scored = map_texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")), "body", ["id"], make, fields)
+    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
+    scored = map_texts(read, "body", ["id"], make, fields, rows=_SCORED_ROWS)
     scored = cut_lineage(scored.withColumn("row", F.monotonically_increasing_id()))
     each = scored.select("row", F.explode(F.arrays_zip("rare", "n_rare")).alias("x")).select(
         "row", F.col("x.rare").alias("key"), F.col("x.n_rare").alias("n")
